@@ -78,7 +78,7 @@ def pivotal(key: list[int], size: list[int], part: list[float], salt: int) -> tu
 
 
 def _round(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "row"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
     p, held = pivotal(rows["row"].tolist(), rows["size"].tolist(), rows["part"].tolist(), int(rows["level"].iloc[0]))
     rows["part"], rows["open"] = p, np.arange(len(rows)) == held
     return rows
@@ -107,9 +107,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
             break
         salts = math.ceil(salts / FAN_IN)
         now = cut(rest.withColumn("salt", F.col("salt") % salts).groupBy("source", "salt").applyInPandas(_round, schema), "rounded")
-    # The last fraction of a source is drawn by itself.
-    draw = (F.pmod(F.xxhash64("row", F.lit(seed + 99)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    settled.append(rest.withColumn("part", F.when(draw < F.col("part"), 1.0).otherwise(0.0)))
+    # One document of a source is left: the nearer whole number leaves at most half its words between mix and target.
+    settled.append(rest.withColumn("part", F.round("part")))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
