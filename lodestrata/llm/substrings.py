@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,9 @@ def _windows(buckets: int):
             h = np.concatenate([h for _, h in held]) if held else np.empty(0, np.uint64)
             ids = np.array([d for d, _ in held], np.int64)
             rows = []
-            for b, index, part in _blocks((h % np.uint64(buckets)).astype(np.int64), docs, h):
+            # The bucket has the low bits (8 at least), so seven bytes say the rest.
+            rest = np.ascontiguousarray((h >> np.uint64(8)).astype("<u8")).view("V8").view(np.uint8).reshape(-1, 8)[:, :7]
+            for b, index, part in _blocks((h % np.uint64(buckets)).astype(np.int64), docs, rest):
                 index = np.frombuffer(index, np.uint32)
                 own, index = np.unique(index, return_inverse=True)
                 rows.append((b, ids[own].tobytes(), (index.astype(np.uint16) if len(own) < 65536 else index.astype(np.uint32)).tobytes(), part))
@@ -79,10 +82,13 @@ def _windows(buckets: int):
 def _recurring(groups: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         docs, hashes = [], []
+        low = np.uint64(int(block["bucket"].iloc[0]) & 255)
         for ids, at, h in zip(block["ids"], block["at"], block["hashes"], strict=True):
-            n = len(h) // 8
+            n = len(h) // 7
+            full = np.zeros((n, 8), np.uint8)
+            full[:, :7] = np.frombuffer(h, np.uint8).reshape(n, 7)
             docs.append(np.frombuffer(ids, np.int64)[np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)])
-            hashes.append(np.frombuffer(h, np.uint64))
+            hashes.append((full.view("<u8").ravel() << np.uint64(8)) | low)
         doc, h = np.concatenate(docs), np.concatenate(hashes)
         order = np.lexsort((doc, h))
         doc, h = doc[order], h[order]
@@ -116,10 +122,10 @@ _FINAL = "kind string, t long, doc_id long, n_words long, n_removed long, kept_s
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted by group, packed rows (rank 0) before documents (rank 1)."""
-    group, hashes = None, WordHash()
+    group, hashes, press = None, WordHash(), zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for g, rank, kind, a, b, doc, text in batch.itertuples(index=False):
+        for g, rank, kind, a, b, doc in batch.itertuples(index=False):
             if g != group:
                 group, again, to, sources = g, set(), defaultdict(set), defaultdict(list)
             if rank == 0:
@@ -133,6 +139,7 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for s, part in _blocks(ids, np.frombuffer(b, np.uint64)):
                         sources[s].append(part)
                 continue
+            text = None if a is None else press.decompress(a).decode("utf-8", "surrogatepass")
             words = BLANK_SPLIT.findall(text or "")
             if doc in sources and len(words) >= WINDOW:
                 hit = np.isin(rolling(hashes(words), WINDOW), np.frombuffer(b"".join(sources[doc]), np.uint64))
@@ -189,17 +196,17 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
     n = max(1, docs.count())
     groups = 1 << max(4, (n // DOCS_PER_GROUP).bit_length())
-    packed = docs.mapInPandas(_windows(groups), "bucket long, ids binary, at binary, hashes binary")
+    packed = docs.mapInPandas(_windows(max(256, groups)), "bucket long, ids binary, at binary, hashes binary")
     found = cut(packed.groupBy("bucket").applyInPandas(_recurring(groups), "g long, kind string, a binary, b binary"), "recurring")
 
-    @F.pandas_udf("long")
-    def group(doc: pd.Series) -> pd.Series:
-        return pd.Series(_group(doc.to_numpy(), groups))
+    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(6)
+        for batch in batches:
+            texts = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
+            yield pd.DataFrame({"g": _group(batch["doc_id"].to_numpy(), groups), "rank": 1, "kind": "", "a": texts, "b": None, "doc_id": batch["doc_id"]})
 
-    rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).unionByName(
-        docs.select(group("doc_id").alias("g"), F.lit(1).alias("rank"), F.lit("").alias("kind"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "doc_id", "text")
-    )
-    rows = rows.select("g", "rank", "kind", "a", "b", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
+    schema = "g long, rank int, kind string, a binary, b binary, doc_id long"
+    rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b", F.lit(0).cast("long").alias("doc_id")).unionByName(docs.mapInPandas(travel, schema))
     done = rows.repartition(groups, "g").sortWithinPartitions("g", "rank").mapInPandas(_cut_out, _FINAL)
     if not keep_text:
         done = done.withColumn("text", F.when(F.col("kind") != "final", F.col("text")))
