@@ -5,16 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 #: Words as runs of anything but space, tab, LF, VT, FF and CR.
 BLANK_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-_CACHE_LIMIT = 400_000
+_BLOCK = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -36,22 +37,83 @@ def cut(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-class WordHash:
-    """64-bit hashes of words through a bounded cache."""
+def _table(inside) -> np.ndarray:
+    return np.fromiter(map(inside, map(chr, range(0x110000))), bool, 0x110000)
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, v in enumerate(out):
-                if v is None:
-                    out[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i].encode("utf-8", "surrogatepass"))
-            if len(known) > _CACHE_LIMIT:
-                known.clear()
-        return np.array(out, dtype=np.uint64)
+@lru_cache(1)
+def letters() -> np.ndarray:
+    r"""Code points of WORD, the class ``\w``."""
+    return _table(lambda c: c.isalnum() or c == "_")
+
+
+@lru_cache(1)
+def not_blank() -> np.ndarray:
+    """Code points of BLANK_SPLIT."""
+    out = np.ones(0x110000, bool)
+    out[[32, *range(9, 14)]] = False
+    return out
+
+
+@lru_cache(1)
+def _draws() -> np.ndarray:
+    """A random 64-bit number for each code point."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    base = 0xD1342543DE82EF95
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _block(texts: list[str], inside: np.ndarray, lower: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's words begin; whole arrays, no loop over words."""
+    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if lower == "ascii":
+        codes = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
+    edge = np.flatnonzero(np.diff(inside[codes].view(np.int8))) + 1
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(1 << max(21, len(codes).bit_length()))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    # A word is a polynomial in its code points: a difference of prefix sums, moved to power 0.
+    np.cumsum(_draws()[codes] * up[: len(codes)], out=sums[1:])
+    hashes = mix((sums[end] - sums[start]) * down[start])
+    return hashes, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def word_hashes(texts: Iterable[str | None], inside: np.ndarray, lower: str = "") -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of each text (none if null), in order. ``inside`` tells which code
+    points are in words (blanks never are); ``lower`` is "all", "ascii" or nothing. Worked in blocks of about a million characters; a longer text is cut at blanks."""
+    held, size = [], 0
+
+    def flush() -> Iterator[np.ndarray]:
+        hashes, at = _block(held, inside, lower)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield hashes[a:b]
+
+    for text in texts:
+        text = (text or "").lower() if lower == "all" else text or ""
+        if len(text) > _BLOCK:
+            yield from flush() if held else ()
+            held, size, parts, at = [], 0, [], 0
+            while at < len(text):
+                cut_at = text.find(" ", at + _BLOCK)
+                cut_at = len(text) if cut_at < 0 else cut_at
+                parts.append(_block([text[at:cut_at]], inside, lower)[0])
+                at = cut_at
+            yield np.concatenate(parts)
+            continue
+        held.append(text)
+        size += len(text) + 1
+        if size >= _BLOCK:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,15 +125,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k consecutive words; empty if there are fewer."""
+    """A 64-bit hash of each run of k consecutive words; empty if there are fewer. Prefix sums, so k costs nothing."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n] + np.uint64(1))
-    return out
+    up, down = _powers(1 << max(21, len(hashes).bit_length()))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * down[:n])
 
 
 def components(edges: DataFrame) -> DataFrame:

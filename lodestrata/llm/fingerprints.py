@@ -1,6 +1,6 @@
 """Document fingerprints (operator 5): consistent weighted sampling.
 
-Terms are word bigrams (and single words, so that short texts have terms), hashed to 2^16 ids
+Terms are word bigrams (the word itself, if a text has but one), hashed to 2^16 ids
 and weighted by their counts. For each of 64 samples a term draws r, c ~ Gamma(2, 1) and
 b ~ U(0, 1) from a fixed table; t = floor(ln w / r + b), ln a = ln c - r (t - b) - r, and the
 term with the least a is kept with its t. Two signatures agree in a sample with probability
@@ -13,7 +13,7 @@ such text 1, like any other 0. Equal texts have equal fingerprints. Extra column
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHash, mix, rolling
+from .common import letters, mix, rolling, word_hashes
 
-SAMPLES, TERMS, ROWS_PER_RANGE, MOST_RANGES = 64, 1 << 16, 400, 8192
+SAMPLES, TERMS, TABLED, ROWS_PER_RANGE, MOST_RANGES = 64, 1 << 16, 3, 400, 8192
 
 
 @lru_cache(1)
@@ -36,32 +36,44 @@ def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c, rng.random(shape, np.float32)
 
 
-def weights(text: str | None, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    h = hashes(WORD.findall((text or "").lower()))
-    return np.unique(np.concatenate([rolling(h, 1), rolling(h, 2)]) % np.uint64(TERMS), return_counts=True)
+def log_a(ids: np.ndarray | slice, w: np.ndarray | float) -> np.ndarray:
+    """ln a of each term and sample; it depends on w through t alone."""
+    r, c, b = (x[ids] for x in draws())
+    t = np.floor(np.log(np.float32(w) if np.isscalar(w) else w[:, None].astype(np.float32)) / r + b)
+    return c - r * (t - b) - r
+
+
+@lru_cache(TABLED)
+def table(w: int) -> np.ndarray:
+    """ln a of all terms at weight w."""
+    return np.concatenate([log_a(slice(i, i + 4096), float(w)) for i in range(0, TERMS, 4096)])
+
+
+def weights(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Term ids and their counts, of each text."""
+    for h in word_hashes(texts, letters(), "all"):
+        yield np.unique(rolling(h, min(2, max(1, len(h)))) % np.uint64(TERMS), return_counts=True)
 
 
 def signature(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """16 bits for each sample; zeros for no term."""
-    best, term, at = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
-    r_all, c_all, b_all = draws()
-    for i in range(0, len(ids), 4096):
-        part = ids[i : i + 4096].astype(np.int64)
-        r, c, b = r_all[part], c_all[part], b_all[part]
-        t = np.floor(np.log(w[i : i + 4096, None]).astype(np.float32) / r + b)
-        a = c - r * (t - b) - r
-        j = a.argmin(axis=0)
-        k = np.arange(SAMPLES)
-        low, better = a[j, k], a[j, k] < best
-        best, term, at = np.where(better, low, best), np.where(better, part[j].astype(np.uint64), term), np.where(better, t[j, k].astype(np.int64), at)
+    """16 bits for each sample; zeros for no term. The least ln a stands for its term and t: it is a
+    32-bit draw that these two fix, so samples are equal where term and t are."""
     if not len(ids):
         return np.zeros(SAMPLES, np.uint16)
+    ids, best = ids.astype(np.int64), np.full(SAMPLES, np.inf, np.float32)
+    for k in range(1, TABLED + 2):
+        own = ids[w == k] if k <= TABLED else ids[w > TABLED]
+        over = None if k <= TABLED else w[w > TABLED]
+        for i in range(0, len(own), 4096):
+            part = own[i : i + 4096]
+            best = np.minimum(best, (table(k).take(part, axis=0) if over is None else log_a(part, over[i : i + 4096])).min(axis=0))
     with np.errstate(over="ignore"):
-        return (mix(term * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) + np.uint64(1)) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+        return (mix(best.view(np.uint32).astype(np.uint64) + np.uint64(1)) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
 
 
-def fingerprint(text: str | None, hashes: WordHash) -> np.ndarray:
-    return signature(*weights(text, hashes))
+def fingerprints(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    for ids, w in weights(texts):
+        yield signature(ids, w)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,19 +92,21 @@ def edited(text: str, following: str) -> str:
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in descending order within a range; the row after a range's last one comes with it as a guest."""
-    hashes, held = WordHash(), None
+    held = None
     for batch in batches:
-        rows = []
-        for home, doc, text, guest in zip(batch["home"], batch["doc_id"], batch["text"], batch["guest"], strict=True):
-            text = text or ""
-            mark = fingerprint(text, hashes)
-            if held is not None and held[0] == home:
-                _, was, before, own = held
-                other = edited(before, text)
-                changed = fingerprint(other, hashes)
-                rows.append((was, len(before), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(changed), likeness(own, changed), likeness(own, mark)))
-            held = None if guest else (home, doc, text, mark)
-        yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        for i in range(0, len(batch), 1000):
+            part = batch.iloc[i : i + 1000]
+            pairs, marks = [], fingerprints(part["text"])
+            for home, doc, text, guest, mark in zip(part["home"], part["doc_id"], part["text"], part["guest"], marks, strict=True):
+                text = text or ""
+                if held is not None and held[0] == home:
+                    pairs.append((*held[1:], edited(held[2], text), mark))
+                held = None if guest else (home, doc, text, mark)
+            rows = [
+                (doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(changed), likeness(own, changed), likeness(own, mark))
+                for (doc, text, own, other, mark), changed in zip(pairs, fingerprints(p[3] for p in pairs), strict=True)
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, rolling
+from .common import cut, rolling, word_hashes
 
 K, DRIFT, COVERAGE, STRETCH = 3, 4, 0.6, 1.5
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -48,24 +49,29 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
     return [(i, label, base, w) for i, (label, base, w) in enumerate(named)]
 
 
+@lru_cache(1)
+def _inside() -> np.ndarray:
+    """Code points of WORDS, upper case too."""
+    return np.fromiter((c > 127 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHash()
     for batch in batches:
         for i in range(0, len(batch), 500):
             part = batch.iloc[i : i + 500]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "grams": [rolling(hashes(words(t)), K).view(np.int64) for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "grams": [rolling(h, K).view(np.int64) for h in word_hashes(part["text"], _inside(), "ascii")]})
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "n_words": [len(words(t)) for t in batch["text"]]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "n_words": [len(h) for h in word_hashes(batch["text"], _inside(), "ascii")]})
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, template, label, base, first_pos, last_pos, coverage of every verified span."""
-    hashes, rows = WordHash(), []
+    rows = []
     for i, label, base, w in templates():
-        grams = rolling(hashes(w), K).view(np.int64).tolist()
+        grams = rolling(next(word_hashes([" ".join(w)], _inside(), "ascii")), K).view(np.int64).tolist()
         rows += [(g, i, label, base, j, len(grams)) for j, g in enumerate(grams)]
     places = docs.sparkSession.createDataFrame(rows, "gram long, template int, label string, base boolean, j int, size int")
     grams = docs.mapInPandas(_grams, "doc_id long, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("i", "gram"))

@@ -1,9 +1,11 @@
 """Media columns (operator 9): content-defined payload chunking.
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, become the samples of
-an 8-bit mono WAV file. A rolling gear hash cuts the file into chunks; chunks are stored once by
-digest, documents keep ordered lists of digests. Reading joins the list to the store, puts the file
-together, verifies its digest and reads the samples back.
+an 8-bit mono WAV file. A rolling gear hash cuts the file into chunks. Spark joins on the digests find the
+chunks that several files have; of these one file gives its chunk to the store and the others keep the digest in their ordered
+lists. A file puts its chunks in order, its own and the store's, verifies its digest and reads the
+samples back. Files whose chunks are all their own are rebuilt where their pack arrives, so
+bytes cross the network once, and only shared chunks again.
 
 Cases. Null text is empty: 192 spaces. Equal texts share one chunk list. Repeated rows keep their
 rows. Empty table: empty result. Extra columns are ignored.
@@ -81,57 +83,126 @@ def feature(samples: bytes) -> str:
     return ":".join([str(len(x)), f"{x.mean():.4f}", f"{np.sqrt((centred**2).mean()):.4f}", str(crossings), ",".join(map(str, bins))])
 
 
-def _split(with_data: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press, seen = zstandard.ZstdCompressor(6), set()
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                if key in seen:
-                    continue
+def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ordered digests of each distinct text."""
+    seen = set()
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["key"], batch["text"], strict=True):
+            if key not in seen:
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add(key)
+                rows += [(key, i, hashlib.sha256(c).digest()) for i, c in enumerate(chunks(store_media(payload(text))))]
+        yield pd.DataFrame(rows, columns=["key", "seq", "digest"])
+
+
+def _packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each distinct text's chunks, compressed as one pack, with their ends and the file's digest."""
+    press, seen = zstandard.ZstdCompressor(9), set()
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["key"], batch["text"], strict=True):
+            if key not in seen:
                 if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 media = store_media(payload(text))
-                whole = hashlib.sha256(media).digest()
-                for i, c in enumerate(chunks(media)):
-                    digest = hashlib.sha256(c).digest()
-                    rows.append((digest, press.compress(c)) if with_data else (key, i, digest, whole))
-            yield pd.DataFrame(rows, columns=["digest", "data"] if with_data else ["key", "seq", "digest", "whole"])
+                rows.append((key, 1, hashlib.sha256(media).digest(), cuts(media), press.compress(media)))
+        yield pd.DataFrame(rows, columns=["key", "rank", "digest", "ends", "data"])
+
+
+_STORED = "kind string, key binary, seq int, digest binary, data binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
+_MADE = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
+
 
-    return run
+def rebuild(parts: list[bytes], whole: bytes) -> tuple:
+    """The file of an ordered chunk list, verified, and what its samples give."""
+    media = b"".join(parts)
+    if hashlib.sha256(media).digest() != whole:
+        raise ValueError("the chunks of a file don't give its digest")
+    back = read_media(media)
+    return len(back), hashlib.sha256(back).digest(), zlib.crc32(back[-16:]), len(media), feature(back)
 
 
-def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    press = zstandard.ZstdDecompressor()
+def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted by key, its shared chunks (rank 0) before its packs (rank 1).
+
+    A file that owns all its chunks is rebuilt here. A chunk that other files have too goes to the store; a
+    file that needs another's chunks leaves its own under its list and waits for them.
+    """
+    press, pull, now, done = zstandard.ZstdCompressor(9), zstandard.ZstdDecompressor(), None, False
+    for batch in batches:
+        rows = []
+        for key, rank, seq, own, digest, ends, data in batch.itertuples(index=False):
+            if key != now:
+                now, shared, done = key, {}, False
+            if rank == 0:
+                shared[int(seq)] = (own, digest)
+                continue
+            if done:  # the same text from another task
+                continue
+            done, media = True, pull.decompress(data)
+            parts = [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            given = set()
+            for i, (mine, name) in shared.items():
+                if mine and name not in given:
+                    given.add(name)
+                    rows.append(("chunk", None, None, name, press.compress(parts[i]), *[None] * 5))
+            if all(mine for mine, _ in shared.values()):
+                rows.append(("made", key, None, digest, None, *rebuild(parts, digest)))
+                continue
+            rows.append(("list", key, len(parts), digest, None, *[None] * 5))
+            for i, p in enumerate(parts):
+                mine, name = shared.get(i, (True, None))
+                rows.append(("own", key, i, None, press.compress(p), *[None] * 5) if mine else ("need", key, i, name, None, *[None] * 5))
+        out = pd.DataFrame(rows, columns=["kind", "key", "seq", "digest", "data", *_MADE])
+        yield out.astype({c: "Int64" for c in ("seq", "payload_bytes", "tail_crc32", "media_bytes")})
+
+
+def _join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted by key and seq; a file's list (seq -1, its digest) comes first, then its chunks in order."""
+    pull, key, whole, parts = zstandard.ZstdDecompressor(), None, None, []
     for batch in batches:
         rows = []
-        for key, whole, parts in zip(batch["key"], batch["whole"], batch["parts"], strict=True):
-            media = b"".join(press.decompress(p["data"]) for p in sorted(parts, key=lambda p: p["seq"]))
-            if hashlib.sha256(media).digest() != bytes(whole):
-                raise ValueError("the chunks of a file don't give its digest")
-            back = read_media(media)
-            rows.append((key, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
-        yield pd.DataFrame(rows, columns=["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for k, seq, digest, data in zip(batch["key"], batch["seq"], batch["digest"], batch["data"], strict=True):
+            if seq < 0:
+                if key is not None:
+                    rows.append((key, whole, *rebuild(parts, whole)))
+                key, whole, parts = k, digest, []
+            else:
+                parts.append(pull.decompress(data))
+        yield pd.DataFrame(rows, columns=["key", "digest", *_MADE])
+    if key is not None:
+        yield pd.DataFrame([(key, whole, *rebuild(parts, whole))], columns=["key", "digest", *_MADE])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"), "text")
 
 
-def chunk_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(store: digest, data once each; lists: key, seq, digest, whole)."""
-    rows = keyed(docs).select("key", "text")
-    store = rows.mapInPandas(_split(True), "digest binary, data binary").dropDuplicates(["digest"])
-    lists = rows.mapInPandas(_split(False), "key binary, seq int, digest binary, whole binary").distinct()
-    return store, lists
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """key, seq, digest of the chunks that several texts have, and whether the text is the one that gives it to the store."""
+    lists = cut(keyed(docs).select("key", "text").mapInPandas(_lists, "key binary, seq int, digest binary"), "lists")
+    owners = lists.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last")
+    return lists.join(owners, "digest").select("key", "seq", (F.col("key") == F.col("owner")).alias("own"), "digest").distinct()
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, and what the rebuilt file gives."""
-    store, lists = chunk_store(docs)
-    parts = lists.join(store, "digest").groupBy("key").agg(F.first("whole").alias("whole"), F.collect_list(F.struct("seq", "data")).alias("parts"))
-    schema = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    built = cut(parts.mapInPandas(_rebuild, schema), "media")
+    shared = chunk_lists(docs).select("key", F.lit(0).alias("rank"), "seq", "own", "digest", F.lit(None).cast("array<int>").alias("ends"), F.lit(None).cast("binary").alias("data"))
+    packs = keyed(docs).select("key", "text").mapInPandas(_packs, "key binary, rank int, digest binary, ends array<int>, data binary")
+    packs = packs.select("key", "rank", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("boolean").alias("own"), "digest", "ends", "data")
+    stored = shared.unionByName(packs).repartition("key").sortWithinPartitions("key", "rank").mapInPandas(_store, _STORED)
+    stored = cut(stored, "store")
+    need = stored.where("kind = 'need'").select("key", "seq", "digest")
+    store = stored.where("kind = 'chunk'").select("digest", "data")
+    got = need.join(store, "digest").select("key", "seq", F.lit(None).cast("binary").alias("digest"), "data")
+    heads = stored.where("kind in ('list', 'own')").select("key", F.when(F.col("kind") == "list", F.lit(-1)).otherwise(F.col("seq")).alias("seq"), "digest", "data")
+    schema = "key binary, digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
+    late = got.unionByName(heads).repartition("key").sortWithinPartitions("key", "seq").mapInPandas(_join, schema)
+    built = stored.where("kind = 'made'").select("key", "digest", *_MADE).unionByName(late)
     own = keyed(docs).select("doc_id", "key", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    return own.join(built, "key").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return own.join(built, "key").select(
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha256")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("digest")).alias("media_sha256"), "feature"
+    )

@@ -16,7 +16,7 @@ their rows. Empty table: empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,53 +24,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHash, components, cut, mix, rolling
+from .common import components, cut, letters, mix, rolling, word_hashes
 
 BANDS, ROWS, N, THRESHOLD = 20, 5, 5, 0.8
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+# The grams are mixed already, so x -> a x + b modulo 2^64 orders them anew for each value.
+_PLUS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_TIMES = mix(_PLUS + np.uint64(1)) | np.uint64(1)
 
 
-def grams(text: str | None, hashes: WordHash, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of the lower-cased words."""
-    words = WORD.findall((text or "").lower())
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes(words)
-    return np.unique(rolling(h, min(n, len(h))))
+def gram_sets(texts: Iterable[str | None], n: int = N) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of the n-grams of its lower-cased words."""
+    for h in word_hashes(texts, letters(), "all"):
+        yield np.unique(rolling(h, min(n, len(h)))) if len(h) else h
 
 
 def minhash(sets: np.ndarray) -> np.ndarray:
     """One band hash per band."""
     low = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(sets), 4096):
-            part = sets[i : i + 4096, None] ^ _SEEDS[None, :]
-            part = (part * np.uint64(0xBF58476D1CE4E5B9)) ^ (part >> np.uint64(29))
-            low = np.minimum(low, (part * np.uint64(0x94D049BB133111EB)).min(axis=0))
+        for i in range(0, len(sets), 256):
+            low = np.minimum(low, (sets[i : i + 256, None] * _TIMES + _PLUS).min(axis=0))
     return np.array([xxhash.xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) for b in range(BANDS)], np.uint64)
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, last = WordHash(), {}
     for batch in batches:
-        ids, keys, bands = [], [], []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            if text not in last:
-                if len(last) > 2000:
-                    last.clear()
-                s = grams(text, hashes)
-                last[text] = (xxhash.xxh3_128_digest(s.tobytes()), minhash(s).view(np.int64).tolist()) if len(s) else (None, None)
-            key, band = last[text]
-            ids.append(doc)
-            keys.append(key)
-            bands.append(band)
-        yield pd.DataFrame({"doc_id": ids, "key": keys, "bands": bands})
+        texts, found = list(dict.fromkeys(batch["text"])), {}
+        for text, s in zip(texts, gram_sets(texts), strict=True):
+            found[text] = (xxhash.xxh3_128_digest(s.tobytes()), minhash(s).view(np.int64).tolist()) if len(s) else (None, None)
+        both = [found[t] for t in batch["text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "key": [k for k, _ in both], "bands": [b for _, b in both]})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHash()
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [grams(t, hashes).view(np.int64).tolist() for t in batch["text"]]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [s.view(np.int64) for s in gram_sets(batch["text"])]})
 
 
 def _pair() -> tuple:

@@ -13,28 +13,29 @@ share their noise and are all ranked. Ties go by doc_id. Empty table: empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHash, cut, rolling
+from .common import cut, letters, rolling, word_hashes
 
 BUCKETS, SHARE, SCALE, SEED = 10_000, 0.75, 40.0, 11
 
 
-def buckets(text: str | None, hashes: WordHash) -> np.ndarray:
-    h = hashes(WORD.findall((text or "").lower()))
-    return (np.concatenate([rolling(h, 1), rolling(h, 2)]) % np.uint64(BUCKETS)).astype(np.int64)
+def buckets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The hashed uni- and bigrams of each text."""
+    for h in word_hashes(texts, letters(), "all"):
+        yield (np.concatenate([rolling(h, 1), rolling(h, 2)]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, raw, good = WordHash(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, is_good in zip(batch["text"], batch["good"], strict=True):
-            n = np.bincount(buckets(text, hashes), minlength=BUCKETS)
+        for found, is_good in zip(buckets(batch["text"]), batch["good"], strict=True):
+            n = np.bincount(found, minlength=BUCKETS)
             raw += n
             if is_good:
                 good += n
@@ -80,10 +81,8 @@ def select(docs: DataFrame, labels: DataFrame, share: float = SHARE, scale: floa
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
         for batch in batches:
-            found = [buckets(t, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "log_ratio": [float(shared.value[b].mean()) if len(b) else 0.0 for b in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "log_ratio": [float(shared.value[b].mean()) if len(b) else 0.0 for b in buckets(batch["text"])]})
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keys = cut(docs.select("doc_id", "text").mapInPandas(score, "doc_id long, log_ratio double").withColumn("key", F.col("log_ratio") * scale - F.log(-F.log(uniform))), "keys")

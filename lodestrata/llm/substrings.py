@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_SPLIT, WordHash, cut, mix, rolling
+from .common import cut, mix, not_blank, rolling, word_hashes
 
 WINDOW, DOCS_PER_GROUP, FLUSH = 13, 1000, 600_000
 _NULL = -(1 << 62)
@@ -48,7 +48,7 @@ def _blocks(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 def _windows(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHash(), [], 0
+        held, size = [], 0
 
         def flush() -> pd.DataFrame:
             docs = np.concatenate([np.full(len(h), i, np.uint32) for i, (_, h) in enumerate(held)]) if held else np.empty(0, np.uint32)
@@ -64,10 +64,9 @@ def _windows(buckets: int):
             return pd.DataFrame(rows, columns=["bucket", "ids", "at", "hashes"])
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = BLANK_SPLIT.findall(text or "")
+            for doc, words in zip(batch["doc_id"], word_hashes(batch["text"], not_blank()), strict=True):
                 if len(words) >= WINDOW:
-                    h = np.unique(rolling(hashes(words), WINDOW))
+                    h = np.unique(rolling(words, WINDOW))
                     held.append((doc, h))
                     size += len(h)
                     if size >= FLUSH:
@@ -113,8 +112,13 @@ def _recurring(groups: int):
     return run
 
 
-def _digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def _words(text: str | None) -> list[bytes]:
+    """The words as UTF-8; bytes split at 0x20 and 0x09 to 0x0D and nothing else."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 _FINAL = "kind string, t long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
@@ -122,7 +126,7 @@ _FINAL = "kind string, t long, doc_id long, n_words long, n_removed long, kept_s
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted by group, packed rows (rank 0) before documents (rank 1)."""
-    group, hashes, press = None, WordHash(), zstandard.ZstdDecompressor()
+    group, press = None, zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for g, rank, kind, a, b, doc in batch.itertuples(index=False):
@@ -140,12 +144,12 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         sources[s].append(part)
                 continue
             text = None if a is None else press.decompress(a).decode("utf-8", "surrogatepass")
-            words = BLANK_SPLIT.findall(text or "")
+            words = _words(text)
             if doc in sources and len(words) >= WINDOW:
-                hit = np.isin(rolling(hashes(words), WINDOW), np.frombuffer(b"".join(sources[doc]), np.uint64))
+                hit = np.isin(rolling(next(word_hashes([text], not_blank())), WINDOW), np.frombuffer(b"".join(sources[doc]), np.uint64))
                 edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
                 for i, j in zip(edge[::2], edge[1::2], strict=True):
-                    passage = " ".join(words[i : j + WINDOW - 1])
+                    passage = b" ".join(words[i : j + WINDOW - 1]).decode("utf-8", "surrogatepass")
                     out += [("a", t, doc, None, None, None, passage) for t in sorted(to[doc])]
             if doc in again:
                 out.append(("b", g, doc, None, None, None, text))
@@ -163,7 +167,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if t != shard:
                 shard, machine, known, ready = t, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}, False
                 least: list[int] = []
-            words = BLANK_SPLIT.findall(text or "")
+            words = _words(text)
             if kind == "a":
                 ids = [known.setdefault(w, len(known) + 1) for w in words]
                 for i in range(len(ids) - WINDOW + 1):
@@ -186,7 +190,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         gone[end + 1] -= 1
             removed = np.cumsum(gone)[:-1] > 0
             kept = [w for w, r in zip(words, removed, strict=True) if not r]
-            out.append(("final", t, doc, len(words), int(removed.sum()), _digest(kept), " ".join(kept) if removed.any() else text))
+            out.append(("final", t, doc, len(words), int(removed.sum()), _digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if removed.any() else text))
         yield pd.DataFrame(out, columns=["kind", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
 
