@@ -40,7 +40,7 @@ def gram_sets(texts: Iterable[str | None], n: int = N) -> Iterator[np.ndarray]:
 
 def minhash(sets: np.ndarray) -> np.ndarray:
     """One band hash per band."""
-    low = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(_PLUS), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(sets), 256):
             low = np.minimum(low, (sets[i : i + 256, None] * _TIMES + _PLUS).min(axis=0))
