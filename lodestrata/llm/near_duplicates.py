@@ -4,7 +4,7 @@ Method. Texts with the same word-5-gram set are one class (its representative is
 doc_id). A representative's set gets 100 MinHash values in 20 bands of 5 rows: two sets of
 similarity 0.8 share a band with probability 1-(1-0.8^5)^20 = 0.9996. Band hashes are
 shuffled. In a bucket the least representative is the pivot; every other member is verified
-against it on the full sets. Members that fail become pivots of their own in the next round,
+against it on the full sets. Of the members that fail, up to 8, then 64 a round become pivots,
 against *all* members of the bucket. Members already verified against a common pivot share
 its component, so their mutual links would not alter any group; a bucket never emits all pairs.
 No bucket is capped.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, letters, mix, rolling, word_hashes
 
-BANDS, ROWS, N, THRESHOLD = 20, 5, 5, 0.8
+BANDS, ROWS, N, THRESHOLD, PIVOTS = 20, 5, 5, 0.8, 64
 # The grams are mixed already, so x -> a x + b modulo 2^64 orders them anew for each value.
 _PLUS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(_PLUS + np.uint64(1)) | np.uint64(1)
@@ -80,9 +80,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     tried, still = None, members.select("band", "hash", "class_id")
-    everyone = still
+    everyone, per_bucket = still, 1
     while True:
-        pivot = still.groupBy("band", "hash").agg(F.min("class_id").alias("pivot"))
+        salt = F.pmod(F.xxhash64("class_id"), F.lit(per_bucket))
+        pivot = still.groupBy("band", "hash", salt.alias("salt")).agg(F.min("class_id").alias("pivot")).drop("salt")
         pairs = everyone.join(pivot, ["band", "hash"]).where("class_id <> pivot").select(*_pair()).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -90,10 +91,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         checked = cut(checked.select("a", "b", (F.col("both") >= F.lit(threshold) * (F.size("ga") + F.size("gb") - F.col("both"))).alias("linked")), "pairs")
         tried = checked if tried is None else tried.unionByName(checked)
         links = tried.where("linked").select("a", "b")
-        rest = still.join(pivot, ["band", "hash"]).where("class_id <> pivot").select("band", "hash", "class_id", *_pair())
-        still = cut(rest.join(links, ["a", "b"], "left_anti").select("band", "hash", "class_id"), "open")
+        met = still.join(pivot, ["band", "hash"]).select("band", "hash", "class_id", "pivot", *_pair()).join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+        closed = F.coalesce("linked", F.lit(False)) | (F.col("class_id") == F.col("pivot"))
+        still = cut(met.groupBy("band", "hash", "class_id").agg(F.max(closed).alias("closed")).where("not closed").select("band", "hash", "class_id"), "open")
         if still.isEmpty():
             break
+        per_bucket = min(PIVOTS, 8 * per_bucket)
     links = cut(links, "links")
     groups = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
