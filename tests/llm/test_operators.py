@@ -199,3 +199,21 @@ def test_mixing(docs, rows, empty):
     assert abs(sum(target.values()) - 1.5 * sum(r["size"] for r in got)) < 1e-6
     assert mixing.mix(empty).count() == 0
     assert mixing.apply_mix(docs).count() > 0 and mixing.apply_mix(docs).columns == docs.columns
+
+
+def test_near_duplicates_counts_every_link(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    links = [sum(a != b and len(a & b) >= 0.8 * len(a | b) for b in sets) for a in sets]
+    assert min(links) > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for members in (near_duplicates.MEMBERS, 16):  # 16: a bucket of several blocks
+        monkeypatch.setattr(near_duplicates, "MEMBERS", members)
+        got = {r["doc_id"]: (r["group_id"], r["n_links"]) for r in near_duplicates.near_duplicates(docs).collect()}
+        assert got == {i: (0, n) for i, n in enumerate(links)}
