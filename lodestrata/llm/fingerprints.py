@@ -1,10 +1,15 @@
 """Document fingerprints (operator 5): consistent weighted sampling.
 
-Terms are word bigrams (the word itself, if a text has but one), hashed to 2^16 ids
-and weighted by their counts. For each of 64 samples a term draws r, c ~ Gamma(2, 1) and
-b ~ U(0, 1) from a fixed table; t = floor(ln w / r + b), ln a = ln c - r (t - b) - r, and the
-term with the least a is kept with its t. Two signatures agree in a sample with probability
-equal to the generalised Jaccard similarity of their weights.
+Terms are word bigrams (the word itself, if a text has but one), known by 64-bit hashes and
+weighted by their counts. For each of 64 samples a term has r, c ~ Gamma(2, 1) and b ~ U(0, 1);
+t = floor(ln w / r + b), ln a = ln c - r (t - b) - r, and the term with the least a is kept with
+its t. Two signatures agree in a sample with probability equal to the generalised Jaccard
+similarity of their weights.
+
+The draws are functions of the whole hash and the sample, no table: of three exponential draws
+x, y and z, c = x + y, r = ln(1 + y / x) + z and b = z / r have those distributions and are
+independent. Then ln a = ln x - r t, and t is 0 at weight 1, where the least x alone decides. A
+term of more weight cannot have a below x exp(-z) / w, so few need y, r and t.
 
 Cases. Null text is empty. A text without words has the fingerprint of zeros: like another
 such text 1, like any other 0. Equal texts have equal fingerprints. Extra columns are ignored.
@@ -14,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,52 +27,54 @@ from pyspark.sql import functions as F
 
 from .common import letters, mix, rolling, word_hashes
 
-SAMPLES, TERMS, TABLED, ROWS_PER_RANGE, MOST_RANGES = 64, 1 << 16, 3, 400, 8192
-
-
-@lru_cache(1)
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of every term and sample."""
-    rng = np.random.Generator(np.random.PCG64(20240501))
-    shape = (TERMS, SAMPLES)
-    r = rng.standard_gamma(2, shape, np.float32)
-    c = np.log(rng.standard_gamma(2, shape, np.float32))
-    return r, c, rng.random(shape, np.float32)
-
-
-def log_a(ids: np.ndarray | slice, w: np.ndarray | float) -> np.ndarray:
-    """ln a of each term and sample; it depends on w through t alone."""
-    r, c, b = (x[ids] for x in draws())
-    t = np.floor(np.log(np.float32(w) if np.isscalar(w) else w[:, None].astype(np.float32)) / r + b)
-    return c - r * (t - b) - r
+SAMPLES, ROWS_PER_RANGE, MOST_RANGES, BLOCK = 64, 400, 8192, 128
+_PLUS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_TIMES = mix(_PLUS + np.uint64(1)) | np.uint64(1)
+_Y, _Z, _T = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
-@lru_cache(TABLED)
-def table(w: int) -> np.ndarray:
-    """ln a of all terms at weight w."""
-    return np.concatenate([log_a(slice(i, i + 4096), float(w)) for i in range(0, TERMS, 4096)])
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Within (0, 1)."""
+    return (h.astype(np.float64) + 0.5) * (0.5**64 * (1 - 2.0**-53))
 
 
 def weights(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Term ids and their counts, of each text."""
+    """Terms and their counts, of each text."""
     for h in word_hashes(texts, letters(), "all"):
-        yield np.unique(rolling(h, min(2, max(1, len(h)))) % np.uint64(TERMS), return_counts=True)
+        yield np.unique(rolling(h, min(2, max(1, len(h)))), return_counts=True)
 
 
-def signature(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """16 bits for each sample; zeros for no term. The least ln a stands for its term and t: it is a
-    32-bit draw that these two fix, so samples are equal where term and t are."""
-    if not len(ids):
+def signature(terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """16 bits for each sample, of the term with the least a and its t; zeros for no term."""
+    if not len(terms):
         return np.zeros(SAMPLES, np.uint16)
-    ids, best = ids.astype(np.int64), np.full(SAMPLES, np.inf, np.float32)
-    for k in range(1, TABLED + 2):
-        own = ids[w == k] if k <= TABLED else ids[w > TABLED]
-        over = None if k <= TABLED else w[w > TABLED]
-        for i in range(0, len(own), 4096):
-            part = own[i : i + 4096]
-            best = np.minimum(best, (table(k).take(part, axis=0) if over is None else log_a(part, over[i : i + 4096])).min(axis=0))
     with np.errstate(over="ignore"):
-        return (mix(best.view(np.uint32).astype(np.uint64) + np.uint64(1)) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+        # The terms are mixed already, so h -> a h + b modulo 2^64 draws anew for each sample.
+        least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+        room = np.empty((min(BLOCK, len(terms)), SAMPLES), np.uint64)
+        for i in range(0, len(terms), BLOCK):
+            part = terms[i : i + BLOCK, None]
+            h = np.multiply(part, _TIMES, out=room[: len(part)])
+            h += _PLUS
+            np.minimum(least, h.min(axis=0), out=least)
+        x = -np.log1p(-_unit(least))
+        best, drawn, t = np.log(x), least, np.zeros(SAMPLES, np.uint64)
+        heavy = w > 1
+        more, times = terms[heavy], w[heavy].astype(np.float64)
+        for i in range(0, len(more), BLOCK):
+            h = more[i : i + BLOCK, None] * _TIMES + _PLUS
+            z = _unit(mix(h + _Z))
+            row, at = np.nonzero(_unit(h) * z <= times[i : i + BLOCK, None] * x)
+            h = h[row, at]
+            x_, y, z = -np.log1p(-_unit(h)), -np.log(_unit(mix(h + _Y))), -np.log(z[row, at])
+            r = np.log1p(y / x_) + z
+            level = np.floor((np.log(times[i + row]) + z) / r)
+            ln_a = np.log(x_) - r * level
+            order = np.lexsort((ln_a, at))
+            order = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+            order = order[ln_a[order] < best[at[order]]]
+            best[at[order]], drawn[at[order]], t[at[order]] = ln_a[order], h[order], level[order].astype(np.uint64)
+        return (mix(drawn + t * _T) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
 
 
 def fingerprints(texts: Iterable[str | None]) -> Iterator[np.ndarray]:

@@ -217,3 +217,23 @@ def test_near_duplicates_counts_every_link(spark, monkeypatch):
         monkeypatch.setattr(near_duplicates, "MEMBERS", members)
         got = {r["doc_id"]: (r["group_id"], r["n_links"]) for r in near_duplicates.near_duplicates(docs).collect()}
         assert got == {i: (0, n) for i, n in enumerate(links)}
+
+
+def test_fingerprints_of_long_unrelated_texts():
+    pair = [" ".join(f"{side}{k}" for k in range(100_000)) for side in "ab"]
+    a, b = fingerprints.fingerprints(pair)
+    assert fingerprints.likeness(a, b) <= 2 / fingerprints.SAMPLES
+
+
+def test_fingerprints_against_exact_similarity():
+    rng, off = random.Random(4), []
+    for size in (20, 300, 3000):
+        for k in range(20):
+            base = [rng.randrange(size) for _ in range(3 * size)]
+            other = base[: len(base) * k // 20] + [rng.randrange(size, 2 * size) for _ in range(len(base) - len(base) * k // 20)]
+            counts = [collections.Counter(zip(x, x[1:])) for x in (base, other)]  # noqa: B905
+            exact = (counts[0] & counts[1]).total() / (counts[0] | counts[1]).total()
+            a, b = fingerprints.fingerprints(" ".join(map(str, x)) for x in (base, other))
+            off.append(fingerprints.likeness(a, b) - exact)
+    off = np.array(off)
+    assert abs(off.mean()) < 0.025 and (off**2).mean() ** 0.5 < 0.08 and abs(off).max() < 0.25
