@@ -19,16 +19,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the least doc_id."""
+    """One document of each group stays: the least doc_id. Null doc_ids and rows that share one stay unless linked."""
     return near_duplicates.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a document of smaller doc_id has; documents left without a word go."""
-    found = substrings.remove_repeats(docs, keep_text=True).where("n_words > n_removed").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    rest = docs.drop("text", "n_chars")
-    joined = rest.join(found, F.col("doc_id") == F.col("_id")).withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long"))
-    return joined.select(*docs.columns)
+    """Texts without passages that a document of smaller doc_id has; documents left without a word go.
+    Null sorts before all doc_ids; rows that share a doc_id take nothing from each other and all stay."""
+    found = substrings.remove_repeats(docs, keep_text=True).where("n_words > n_removed")
+    # What stays of a text hangs on it and the doc_id alone, so rows equal in both have the same.
+    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("text").alias("_text")).dropDuplicates(["_id", "_of"])
+    rest = docs.withColumn("_mark", F.xxhash64("text")).drop("text", "n_chars")
+    joined = rest.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")))
+    return joined.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,7 +205,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the least doc_id of each group; repeated rows of that doc_id count as one."""
-    keep = near_duplicates(docs).where("doc_id = group_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs without all but one row of each group: that of the least doc_id (null last), of its texts the
+    least hash. Rows without words are never linked: all stay. Of rows of one doc_id and text one stays; with a
+    null doc_id that holds for rows with words, which are exact copies, and not for those without."""
+    signed, classes = _classes(docs, THRESHOLD)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
+    first = signed.join(classes.select("key", "group"), "key").groupBy("group").agg(one).select("one.doc_id", "one.mark", F.lit(False).alias("each"))
+    wordless = signed.where("key is null").select("doc_id", "mark", F.col("doc_id").isNull().alias("each")).distinct()
+    keep = first.unionByName(wordless).select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_of"), F.col("each").alias("_each"))
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_mark") == F.col("_of")))
+    kept = kept.withColumn("_n", F.when(F.col("_each"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "_mark", "_n"]).select(*docs.columns)

@@ -121,7 +121,7 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-_FINAL = "kind string, t long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+_FINAL = "kind string, t long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string, mark long"
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +129,7 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group, press = None, zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for g, rank, kind, a, b, doc in batch.itertuples(index=False):
+        for g, rank, kind, a, b, doc, mark in batch.itertuples(index=False):
             if g != group:
                 group, again, to, sources = g, set(), defaultdict(set), defaultdict(list)
             if rank == 0:
@@ -150,12 +150,12 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
                 for i, j in zip(edge[::2], edge[1::2], strict=True):
                     passage = b" ".join(words[i : j + WINDOW - 1]).decode("utf-8", "surrogatepass")
-                    out += [("a", t, doc, None, None, None, passage) for t in sorted(to[doc])]
+                    out += [("a", t, doc, None, None, None, passage, 0) for t in sorted(to[doc])]
             if doc in again:
-                out.append(("b", g, doc, None, None, None, text))
+                out.append(("b", g, doc, None, None, None, text, mark))
             else:
-                out.append(("final", g, doc, len(words), 0, _digest(words), text))
-        yield pd.DataFrame(out, columns=["kind", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "text"]).astype({"n_words": "Int64", "n_removed": "Int64"})
+                out.append(("final", g, doc, len(words), 0, _digest(words), text, mark))
+        yield pd.DataFrame(out, columns=["kind", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "mark"]).astype({"n_words": "Int64", "n_removed": "Int64"})
 
 
 def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +163,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shard, machine, ready = None, None, False
     for batch in batches:
         out = []
-        for kind, t, doc, text in zip(batch["kind"], batch["t"], batch["doc_id"], batch["text"], strict=True):
+        for kind, t, doc, text, mark in zip(batch["kind"], batch["t"], batch["doc_id"], batch["text"], batch["mark"], strict=True):
             if t != shard:
                 shard, machine, known, ready = t, ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}, False
                 least: list[int] = []
@@ -190,14 +190,14 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         gone[end + 1] -= 1
             removed = np.cumsum(gone)[:-1] > 0
             kept = [w for w, r in zip(words, removed, strict=True) if not r]
-            out.append(("final", t, doc, len(words), int(removed.sum()), _digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if removed.any() else text))
-        yield pd.DataFrame(out, columns=["kind", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+            out.append(("final", t, doc, len(words), int(removed.sum()), _digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if removed.any() else text, mark))
+        yield pd.DataFrame(out, columns=["kind", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "text", "mark"])
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, and with keep_text the text that stays
-    (unchanged where nothing is removed, else the kept words joined by one space)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
+    (unchanged where nothing is removed, else the kept words joined by one space) and mark, xxhash64 of the text in docs."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     n = max(1, docs.count())
     groups = 1 << max(4, (n // DOCS_PER_GROUP).bit_length())
     packed = docs.mapInPandas(_windows(max(256, groups)), "bucket long, ids binary, at binary, hashes binary")
@@ -207,14 +207,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         press = zstandard.ZstdCompressor(6)
         for batch in batches:
             texts = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            yield pd.DataFrame({"g": _group(batch["doc_id"].to_numpy(), groups), "rank": 1, "kind": "", "a": texts, "b": None, "doc_id": batch["doc_id"]})
+            yield pd.DataFrame({"g": _group(batch["doc_id"].to_numpy(), groups), "rank": 1, "kind": "", "a": texts, "b": None, "doc_id": batch["doc_id"], "mark": batch["mark"]})
 
-    schema = "g long, rank int, kind string, a binary, b binary, doc_id long"
-    rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b", F.lit(0).cast("long").alias("doc_id")).unionByName(docs.mapInPandas(travel, schema))
+    schema = "g long, rank int, kind string, a binary, b binary, doc_id long, mark long"
+    rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark")).unionByName(docs.mapInPandas(travel, schema))
     done = rows.repartition(groups, "g").sortWithinPartitions("g", "rank").mapInPandas(_cut_out, _FINAL)
     if not keep_text:
         done = done.withColumn("text", F.when(F.col("kind") != "final", F.col("text")))
     done = cut(done, "cut")
     shards = done.where("kind <> 'final'").repartition(groups, "t").sortWithinPartitions("t", "kind", "doc_id").mapInPandas(_locate, _FINAL)
-    columns = [F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["text"] if keep_text else [])]
+    columns = [F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["text", "mark"] if keep_text else [])]
     return done.where("kind = 'final'").unionByName(shards).select(*columns)

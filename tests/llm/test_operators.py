@@ -237,3 +237,36 @@ def test_fingerprints_against_exact_similarity():
             off.append(fingerprints.likeness(a, b) - exact)
     off = np.array(off)
     assert abs(off.mean()) < 0.025 and (off**2).mean() ** 0.5 < 0.08 and abs(off).max() < 0.25
+
+
+def test_stages_keep_null_and_repeated_doc_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    fresh = lambda n=40: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    same, passage = fresh(), fresh(20)
+    clean = [(None, fresh()), (None, fresh()), (7, fresh()), (7, fresh()), (8, fresh())]
+    # The copies: of doc_id 3 and null, of nulls alone, of doc_ids 9 and 7; and what has no words.
+    nulls, nine = fresh(), fresh()
+    rows = [*clean, (None, same), (3, same), (None, nulls), (None, nulls), (9, nine), (7, nine), (None, ""), (None, ""), (None, None), (4, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "s", j) for j, (i, t) in enumerate(rows)], "doc_id long, text string, source string, at int")
+    order = lambda rows: sorted(rows, key=str)
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert order((r["doc_id"], r["text"]) for r in kept.collect()) == order([*clean, (3, same), (None, nulls), (7, nine), (None, ""), (None, ""), (None, None), (4, None), (4, "")])
+
+    rows = [*clean, (None, passage + " null"), (7, passage + " seven"), (7, passage + " again"), (7, passage + " again"), (9, passage), (None, None)]
+    docs = spark.createDataFrame([(i, t, "s", j, 0) for j, (i, t) in enumerate(rows)], "doc_id long, text string, source string, at int, n_chars long")
+    got = corpus_pipeline.substring_dedup(spark, docs, "").collect()
+    wanted = [*clean, (None, passage + " null"), (7, "seven"), (7, "again"), (7, "again")]
+    assert [(r["at"], r["doc_id"], r["text"], r["n_chars"]) for r in sorted(got, key=lambda r: r["at"])] == [(j, i, t, len(t)) for j, (i, t) in enumerate(wanted)]
+
+    docs = docs.where("at < 9")
+    languages = docs.withColumn("lang", F.lit("aa"))
+    assert language.identify(languages, language.fit(languages), languages.columns).count() == 9
+    packed = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    tokens = packing.pack(docs.withColumn("doc_id", F.col("at").cast("long"))).agg(F.sum("length")).first()[0]
+    assert {r["doc_id"] for r in packed} == {None, 7, 8} and sum(r["n"] for r in packed) == tokens
+    mixed = {r["row"]: r for r in mixing.mix(docs).collect()}
+    copies = sum(r["copies"] for r in mixing.mix(docs).collect())
+    assert len(mixed) == 8 and mixing.apply_mix(docs).count() == copies
