@@ -4,7 +4,7 @@ Grades come from the labels: 0 for rows labelled clean; rows labelled toxic are
 by the share of their words that are distinctive of toxic rows (thirds of that share). One
 weight vector is shared across three ordered thresholds: P(grade > j) = sigmoid(w.x - theta_j).
 The result is the expected severity, sum_j P(grade > j). Features are words and word beginnings of 4 to 6
-letters (inflected abuse shares its stem) that occur in 2 % of the toxic rows and are e^2.5 times as frequent there; near copies
+letters (inflected abuse shares its stem) that occur in 2 % of the toxic rows and are e^2.5 times as frequent there; exact copies
 in the sample count once. As abuse may be a small part of a long text, every window of 32 words
 that holds a feature is scored and the greatest expected severity counts. The fit reads at most
 ``bound`` labelled rows (8,000, a parameter).
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict | None:
     named = named.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).limit(bound)
     found = docs.select("doc_id", "text").join(F.broadcast(named), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").collect()
     words = ((WORD.findall((r["text"] or "").lower()), r["toxic"]) for r in found)
-    rows = sorted({(tuple(w[:12]), bool(t)): (w, bool(t)) for w, t in sorted(words)}.values())
+    rows = sorted({(tuple(w), bool(t)): (w, bool(t)) for w, t in sorted(words)}.values())
     n_bad = sum(t for _, t in rows)
     if not n_bad or n_bad == len(rows):
         return None

@@ -270,3 +270,13 @@ def test_stages_keep_null_and_repeated_doc_ids(spark):
     mixed = {r["row"]: r for r in mixing.mix(docs).collect()}
     copies = sum(r["copies"] for r in mixing.mix(docs).collect())
     assert len(mixed) == 8 and mixing.apply_mix(docs).count() == copies
+
+
+def test_toxicity_of_texts_that_share_an_opening(spark):
+    rng, opening = random.Random(5), " ".join(f"licence{k}" for k in range(12))
+    plain = [f"w{i}" for i in range(200)]
+    made = [(i, " ".join([opening] + [rng.choice(plain) for _ in range(60)] + ["vile", "awful"] * (i % 4 == 0) * (1 + i % 3)), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(m[0], m[2]) for m in made[:200]], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.grade(docs, model).collect()}
+    assert sum(got[i]["toxic"] == bool(t) for i, _, t in made[200:]) >= 190
