@@ -6,10 +6,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -19,22 +20,82 @@ _BLOCK = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of its own only where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a single machine
+    (local master) gets a folder of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def cut(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there, lost executors cost nothing."""
+    """Writes df as Parquet to the shared folder and reads it again: lineage ends there, lost executors
+    cost nothing. The table goes when the session's JVM ends, or earlier through ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{kind}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    for made in _made:
+        made.append(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.cut_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``cut`` returned; nothing lazy may read it after that."""
+    at, files = _files(table.sparkSession, table.cut_at)
+    files.delete(at, True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The tables that ``cut`` writes inside are deleted at the end, but for those whose path is taken off the
+    list; nothing lazy may read the others after it."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+        for path in made:
+            at, files = _files(spark, path)
+            files.delete(at, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front as far as a column in ``taken`` has that name, in any case."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def doc_ids(docs: DataFrame, *others: Column | str) -> DataFrame:
+    """doc_id as a string, and others. Python sees a column of integers with a null in it as doubles, which
+    merges large ids; strings keep them. ``back`` makes integers of them."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *others)
+
+
+def back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _table(inside) -> np.ndarray:
@@ -141,8 +202,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is one shuffle over the edges, and the
     number of rounds grows with the logarithm of the longest path. State is cut each round.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -155,7 +216,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = cut(small, "edges")
+        old, now = now, cut(small, "edges")
+        drop(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

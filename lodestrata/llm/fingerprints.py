@@ -12,7 +12,11 @@ independent. Then ln a = ln x - r t, and t is 0 at weight 1, where the least x a
 term of more weight cannot have a below x exp(-z) / w, so few need y, r and t.
 
 Cases. Null text is empty. A text without words has the fingerprint of zeros: like another
-such text 1, like any other 0. Equal texts have equal fingerprints. Extra columns are ignored.
+such text 1, like any other 0. Equal texts have equal fingerprints. Null doc_ids come last; rows that share one
+are in descending order of their texts. Empty table: empty result. Extra columns are ignored.
+
+A range is read as a stream and sorted on disk, so a range of any length fits; there are as many as
+documents / 400, from 13 million documents on 32,768, which bounds what the driver holds.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import letters, mix, rolling, word_hashes
+from .common import back, letters, mix, rolling, word_hashes
 
-SAMPLES, ROWS_PER_RANGE, MOST_RANGES, BLOCK = 64, 400, 8192, 128
+SAMPLES, ROWS_PER_RANGE, MOST_RANGES, BLOCK = 64, 400, 32_768, 128
 _PLUS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _TIMES = mix(_PLUS + np.uint64(1)) | np.uint64(1)
 _Y, _Z, _T = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -135,10 +139,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     # A doc_id with several rows sends one of them; which one is fixed by its text.
     first = placed.join(F.broadcast(table), "o").groupBy("o", "doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("back").alias("home"))
     both = placed.select("home", "o", "doc_id", "text", F.lit(False).alias("guest")).unionByName(first.select("home", "o", "doc_id", "text", F.lit(True).alias("guest")))
-    dealt = both.repartition(max(2, min(ranges, 4096)), "home").sortWithinPartitions("home", "guest", F.desc("o"), F.desc(F.coalesce("text", F.lit(""))))
-    return dealt.select("home", "doc_id", "text", "guest").mapInPandas(
-        _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    dealt = both.repartition(max(2, ranges), "home").sortWithinPartitions("home", "guest", F.desc("o"), F.desc(F.coalesce("text", F.lit(""))))
+    made = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return back(dealt.select("home", F.col("doc_id").cast("string").alias("doc_id"), "text", "guest").mapInPandas(_compare, made))
 
 
 def _search(edges: list[int]):

@@ -6,7 +6,8 @@ text, all of it. Document frequencies are counted over every labelled row that m
 from; the weights are fitted on a sample of at most ``bound`` such rows (8,000, a parameter).
 
 Cases. Null text, or text without a letter: ``und`` with score 1. No labelled rows: ``und``
-with score 0. Repeated rows keep their rows; extra columns are ignored.
+with score 0, and ``kept`` keeps all. Repeated rows keep their rows; a null doc_id is never held out; extra
+columns of any name stay as they are. Equal likelihoods: the first language by code point.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 DIM, GRAMS, BOUND = 1 << 15, 4, 8000
 REJECT_BELOW = 0.5
 
@@ -42,7 +45,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, n = counts(text)
     x = (1 + np.log(n)) * idf[ids]
-    return ids, x / max(np.sqrt((x * x).sum()), 1e-12)
+    return ids.astype(np.uint16), (x / max(np.sqrt((x * x).sum()), 1e-12)).astype(np.float32)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -117,20 +120,27 @@ def predict(text: str | None, model: dict) -> tuple[str, float]:
     return model["langs"][best], float(p[best])
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """docs' columns ``keep`` with lang_pred and score. The prediction reads text alone."""
+def identify(docs: DataFrame, model: dict) -> tuple[DataFrame, str]:
+    """docs with a column of struct(lang_pred, score), and that column's name, which no other has. The
+    prediction reads text alone, and no other column passes through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages: a fixed size
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [predict(t, shared.value) for t in batch["_text"]]
-            out = batch[keep].copy()
-            out["lang_pred"], out["score"] = [f[0] for f in found], [f[1] for f in found]
-            yield out
-
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return source.mapInPandas(label, f"{schema}, lang_pred string, score double")
+            yield pd.DataFrame([predict(t, shared.value) for t in batch], columns=["lang_pred", "score"])
+
+    (name,) = fresh(docs.columns, "language")
+    return docs.withColumn(name, label.asNondeterministic()(F.col("text"))), name
+
+
+def kept(docs: DataFrame, model: dict, least: float = REJECT_BELOW) -> DataFrame:
+    """docs without those that have no letter or no language likelier than ``least``; all of docs if the
+    model knows no language."""
+    if not model["langs"]:
+        return docs
+    scored, name = identify(docs, model)
+    return scored.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).select(*docs.columns)
 
 
 def is_held_out() -> Column:

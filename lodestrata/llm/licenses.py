@@ -2,12 +2,13 @@
 
 All rolling 3-word hashes of every document are joined to the template positions (a table of
 fixed size). A hit at word i on template position j votes for diagonal i - j; votes are
-aggregated by diagonal, neighbouring diagonals (within ``DRIFT`` words) are merged, and a span is verified by the share
-of template positions it covers and by its length. The base phrases are templates too: a
-diagonal that has all of a phrase's positions is a place of the phrase.
+aggregated by diagonal. Each diagonal is merged with its neighbours that begin at most half a template
+later, so a span is at most 1.5 times as long as its template however many diagonals lie side by side; it is verified by the
+share of template positions that it covers. Of verified spans that begin within ``DRIFT`` words of each other the one
+that covers most stays. The base phrases are templates too: a diagonal that has all of a phrase's positions is a place of the phrase.
 
 Cases. Null text is empty. Fewer than three words: no grams, no labels. Rows that repeat doc_id and text get the
-same result. Empty table: empty result. Extra columns are ignored.
+same result; a null doc_id stays null. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, rolling, word_hashes
+from .common import back, cut, doc_ids, rolling, word_hashes
 
 K, DRIFT, COVERAGE, STRETCH = 3, 4, 0.6, 1.5
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,18 +75,24 @@ def spans(docs: DataFrame) -> DataFrame:
         grams = rolling(next(word_hashes([" ".join(w)], _inside(), "ascii")), K).view(np.int64).tolist()
         rows += [(g, i, label, base, j, len(grams)) for j, g in enumerate(grams)]
     places = docs.sparkSession.createDataFrame(rows, "gram long, template int, label string, base boolean, j int, size int")
-    grams = docs.mapInPandas(_grams, "doc_id long, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("i", "gram"))
+    grams = doc_ids(docs, "key", "text").mapInPandas(_grams, "doc_id string, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("i", "gram"))
     votes = grams.join(F.broadcast(places), "gram").groupBy("doc_id", "key", "template", "label", "base", "size", (F.col("i") - F.col("j")).alias("diagonal"))
     votes = votes.agg(F.collect_set("j").alias("js"), F.min("i").alias("first_pos"), F.max("i").alias("last_pos"))
-    w = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    step = F.col("base") | F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > DRIFT)
-    merged = votes.withColumn("start", step.cast("int")).withColumn("island", F.sum("start").over(w))
-    merged = merged.groupBy("doc_id", "key", "template", "label", "base", "size", "island").agg(
-        F.min("diagonal").alias("diagonal"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("covered")
-    )
-    whole = F.col("base") & (F.col("covered") == F.col("size"))
-    near = ~F.col("base") & (F.col("covered") >= COVERAGE * F.col("size")) & (F.col("last_pos") - F.col("first_pos") + 1 <= STRETCH * F.col("size"))
-    return merged.where(whole | near).withColumn("coverage", F.col("covered") / F.col("size"))
+    place = ["doc_id", "key", "template"]
+    phrases = votes.where(F.col("base") & (F.size("js") == F.col("size"))).select(*place, "label", "base", "size", "diagonal", "first_pos", "last_pos", F.size("js").alias("covered"))
+    reach = F.floor(F.col("size") * (STRETCH - 1))
+    w = Window.partitionBy(*place).orderBy("diagonal").rangeBetween(0, int(max(len(t[3]) for t in templates()) * (STRETCH - 1)))
+    ahead = votes.where(~F.col("base")).withColumn("ahead", F.collect_list(F.struct("diagonal", "js", "first_pos", "last_pos")).over(w))
+    ahead = ahead.withColumn("ahead", F.filter("ahead", lambda x: x["diagonal"] - F.col("diagonal") <= reach))
+    spans_ = ahead.select(
+        *place, "label", "base", "size", "diagonal", F.array_min("ahead.first_pos").alias("first_pos"), F.array_max("ahead.last_pos").alias("last_pos"), F.size(F.array_distinct(F.flatten("ahead.js"))).alias("covered")
+    ).where(F.col("covered") >= COVERAGE * F.col("size"))
+    by = Window.partitionBy(*place).orderBy("diagonal")
+    step = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT).cast("int"), F.lit(1))
+    islands = spans_.withColumn("step", step).withColumn("island", F.sum("step").over(by))
+    best = Window.partitionBy(*place, "island").orderBy(F.desc("covered"), "diagonal")
+    whole = islands.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("step", "island", "rn")
+    return phrases.unionByName(whole).withColumn("coverage", F.col("covered") / F.col("size"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -100,9 +107,9 @@ def scan(docs: DataFrame) -> DataFrame:
         F.max("coverage").alias("score"),
     )
     found = cut(found, "spans").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    counted = docs.mapInPandas(_count, "doc_id long, key long, n_words long")
+    counted = doc_ids(docs, "key", "text").mapInPandas(_count, "doc_id string, key long, n_words long")
     joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    return joined.select(
+    return back(joined).select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -8,8 +8,9 @@ with odds that keep both expectations. So a source's words keep their sum but fo
 document. Groups of documents (source, salt) leave one fractional document each; these residuals
 meet in a reduction tree of fan-in 64 until a source has one. Draws are hashes of the pair, so reruns agree.
 
-Cases. Null text: size 0, taken 0. Null source: a source of its own, last in order. Repeated
-rows are documents of their own. Empty table: empty result. Extra columns are ignored.
+Cases. Null text: size 0, taken 0. Null source: a source of its own, last in order. Null doc_ids stay null. Repeated
+rows are documents of their own. Empty table: empty result. Extra columns are ignored by mix and kept by apply_mix, whatever
+their names. The driver and each executor hold one row a source.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import back, cut, doc_ids, fresh
 
 WEIGHTS, SHARE, MOST, PER_GROUP, FAN_IN = (3, 1, 2), 1.5, 2.0, 3000, 64
 _EPS = 1e-9
@@ -94,8 +95,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     table = docs.sparkSession.createDataFrame([(s, sizes[s], float(wanted[s]), wanted[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], "s string, source_size long, target double, rate double")
     salts = max(1, math.ceil(total / PER_GROUP))
     rated = base.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).withColumn("sure", F.floor(F.col("rate") + _EPS))
-    flat = rated.select(
-        "row", "doc_id", "source", "size", "source_size", "target", "sure", F.lit(seed).alias("level"), F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(salts)).alias("salt"),
+    flat = doc_ids(
+        rated, "row", "source", "size", "source_size", "target", "sure", F.lit(seed).alias("level"), F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(salts)).alias("salt"),
         F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0))).otherwise(0.0).alias("part"), F.lit(False).alias("open"),
     )
     schema = flat.schema
@@ -113,12 +114,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = (F.col("sure") + F.round("part")).cast("long")
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return back(out).select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """docs, each row as often as the mix takes it."""
     own = docs.columns
-    copies = mix(docs).where("copies > 0").groupBy("row").agg(F.sum("copies").alias("copies"))
-    picked = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["_row"]).join(copies, F.col("_row") == F.col("row"))
-    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own)
+    row, key, copies, n = fresh(own, "_row", "_key", "_copies", "_copy")
+    taken = mix(docs).where("copies > 0").groupBy(F.col("row").alias(key)).agg(F.sum("copies").alias(copies))
+    # Rows of one doc_id, source and text are told apart by nothing here: the first stands for all.
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "source", "text"))
+    picked = marked.dropDuplicates([row]).join(taken, F.col(row) == F.col(key))
+    return picked.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*own)

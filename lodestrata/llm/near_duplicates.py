@@ -11,7 +11,8 @@ bucket is capped and no pair that shares a band is left out.
 
 Cases. Null and empty text, or text without words: no set, never linked, a class of its own.
 Under five words: the whole word sequence is the only gram. Repeated rows of a doc_id keep
-their rows. Empty table: empty result. Extra columns are ignored.
+their rows. A null doc_id is an id like others, after all of them. Empty table: empty result.
+Extra columns are ignored by the join and kept by keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, letters, mix, rolling, word_hashes
+from .common import back, components, cut, doc_ids, drop, fresh, letters, mix, rolling, word_hashes
 
 BANDS, ROWS, N, THRESHOLD = 20, 5, 5, 0.8
 #: Members and grams of a block of a bucket, about; columns of a matrix product.
@@ -167,7 +168,8 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Per row of docs its doc_id, mark (a hash of the text) and class key; per class key class_id, group (a
     number of its own), group_id and n_links. Classes, not doc_ids, are the nodes, so doc_ids may be null or repeat."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    signed = cut(docs.mapInPandas(_signatures, "doc_id long, mark long, key binary, size long, bands array<long>"), "signatures")
+    signed = doc_ids(docs, "text", "mark").mapInPandas(_signatures, "doc_id string, mark long, key binary, size long, bands array<long>")
+    signed = cut(back(signed), "signatures")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     own = signed.where("key is not null").groupBy("key").agg(one.alias("one"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     classes = cut(own.select("key", F.xxhash64("key").alias("node"), F.col("one.doc_id").alias("class_id"), F.col("one.mark").alias("mark"), "size", "bands"), "classes")
@@ -187,6 +189,8 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     sets = cut(texts.select("node", "bands", "text").mapInPandas(_sets, "node long, bands array<long>, grams binary"), "sets")
     dealt = needed.join(sets, "node").select("band", "hash", "x", "y", "side", "node", "bands", "grams")
     links = cut(_together(dealt).mapInPandas(_verified(threshold), "a long, b long, n long"), "links")
+    drop(needed)
+    drop(sets)
 
     groups = components(links.select("a", "b")).withColumnRenamed("component", "group")
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
@@ -212,8 +216,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
     first = signed.join(classes.select("key", "group"), "key").groupBy("group").agg(one).select("one.doc_id", "one.mark", F.lit(False).alias("each"))
     wordless = signed.where("key is null").select("doc_id", "mark", F.col("doc_id").isNull().alias("each")).distinct()
-    keep = first.unionByName(wordless).select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_of"), F.col("each").alias("_each"))
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_mark") == F.col("_of")))
-    kept = kept.withColumn("_n", F.when(F.col("_each"), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", "_mark", "_n"]).select(*docs.columns)
+    k, of, each, mark, n = fresh(docs.columns, "_keep", "_of", "_each", "_mark", "_n")
+    keep = first.unionByName(wordless).select(F.col("doc_id").alias(k), F.col("mark").alias(of), F.col("each").alias(each))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(k)) & (F.col(mark) == F.col(of)))
+    kept = kept.withColumn(n, F.when(F.col(each), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", mark, n]).select(*docs.columns)

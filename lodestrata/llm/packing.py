@@ -2,13 +2,13 @@
 
 Tokenised pieces are counted in a histogram of lengths (at most 2048 entries, whatever the
 input). Few-piece patterns that fill a sequence are enumerated over the lengths present, repeat
-counts are fitted to the histogram by NNLS (cyclic coordinate descent), rounded down to what is
-there, and the residual counts are packed best-fit decreasing, with equal bins held as one
-group with a multiplicity. Ranks within a length, salted so that no length meets in one task,
+counts are fitted to the histogram by NNLS (cyclic coordinate descent) and rounded to the nearest
+within what is there; the patterns are fitted again to what is left, up to four times, and the last
+residual counts are packed best-fit decreasing, with equal bins held as one group with a multiplicity. Ranks within a length, salted so that no length meets in one task,
 then tell each piece its sequence and offset.
 
 Cases. Null or empty text: the closing id 0 alone. Repeated rows are packed as often as they
-occur. Empty table: empty result. Extra columns are ignored.
+occur; a null doc_id stays null. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import back, cut, doc_ids
 
-CAPACITY, TOKENIZER, RANKS, SALTS = 2048, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 64
+CAPACITY, TOKENIZER, RANKS, SALTS, FITS = 2048, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 64, 4
 _CACHE_LIMIT = 1_000_000
 #: A space before another blank or the end: there the cut before a space does not hold.
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -117,7 +117,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     start, end, piece = end, end + capacity, piece + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    return back(doc_ids(docs, "text").mapInPandas(cut_up, made))
 
 
 def patterns(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, ...]]:
@@ -168,13 +169,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     """(length, first rank, count, first sequence, offset): where the ranks of each length go."""
     left = dict(histogram)
     bins: list[tuple[tuple[int, ...], int]] = []
-    found = patterns(list(histogram), capacity)
-    for x, p in sorted(zip(nnls(found, histogram), found, strict=True), reverse=True):
-        n = min([int(x), *(left[k] // p.count(k) for k in set(p))])
-        if n > 0:
-            bins.append((p, n))
-            for k in p:
-                left[k] -= n
+    for _ in range(FITS):
+        target = {k: n for k, n in left.items() if n}
+        found, before = patterns(list(target), capacity), len(bins)
+        for x, p in sorted(zip(nnls(found, target), found, strict=True), reverse=True):
+            n = min([int(x + 0.5), *(left[k] // p.count(k) for k in set(p))])
+            if n > 0:
+                bins.append((p, n))
+                for k in p:
+                    left[k] -= n
+        if len(bins) == before:
+            break
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     rooms: list[int] = []
     for k in sorted(left, reverse=True):
@@ -240,7 +245,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield batch.drop(columns=["salt", "rn"]).assign(sequence_id=sequence, offset=offset)
 
     # row_number per (length, salt): the salt splits a length that a third of all pieces share.
-    from pyspark.sql import Window as W
-
-    ranked = parts.withColumn("rn", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = parts.withColumn("rn", F.row_number().over(w)).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return back(ranked.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

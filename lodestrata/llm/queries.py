@@ -20,7 +20,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = language.fit(docs.where(~language.is_held_out()))
-    return language.identify(docs, model, ["doc_id"]).select("doc_id", language.is_held_out().alias("held_out"), "lang_pred", "score")
+    scored, name = language.identify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", language.is_held_out().alias("held_out"), f"{name}.lang_pred", f"{name}.score")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

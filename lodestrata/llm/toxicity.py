@@ -9,8 +9,9 @@ in the sample count once. As abuse may be a small part of a long text, every win
 that holds a feature is scored and the greatest expected severity counts. The fit reads at most
 ``bound`` labelled rows (8,000, a parameter).
 
-Cases. Null, empty or word-less text, or one without a feature: severity 0. No labels, or labels of one kind: severity 0
-throughout. Repeated rows keep their rows. Extra columns are ignored.
+Cases. Null, empty or word-less text: severity 0. A text without a feature has the severity of the thresholds alone. No
+labels, or labels of one kind: severity 0 throughout. Labels of a null doc_id are not used; documents with a null
+doc_id are graded. Repeated rows keep their rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,10 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict | None:
 def severity(text: str | None, model: dict | None, features: Features | None) -> tuple[float, float]:
     """Expected grade (0 to 3) and P(grade > 0); a text without features has none."""
     words = WORD.findall((text or "").lower())
-    hits = features.hits(words) if words and model else []
-    if not hits:
+    if not words or not model:
         return 0.0, 0.0
-    best = max(float(model["w"][x].sum() * SCALE) for x in windows(hits, len(words)))
+    found = windows(features.hits(words), len(words))
+    best = max((float(model["w"][x].sum() * SCALE) for x in found), default=0.0)
     p = sigmoid(best - model["theta"])
     return float(p.sum()), float(p[0])
 
@@ -128,10 +129,11 @@ def grade(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per row of docs: doc_id, severity, p_toxic, toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the features of the sample
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("severity double, p_toxic double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         features = Features(shared.value["index"]) if shared.value else None
         for batch in batches:
-            found = [severity(t, shared.value, features) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "severity": [f[0] for f in found], "p_toxic": [f[1] for f in found], "toxic": [f[1] >= TOXIC_FROM for f in found]})
+            yield pd.DataFrame([severity(t, shared.value, features) for t in batch], columns=["severity", "p_toxic"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, severity double, p_toxic double, toxic boolean")
+    graded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), run.asNondeterministic()(F.col("text")).alias("g"))
+    return graded.select("doc_id", "g.severity", "g.p_toxic", (F.col("g.p_toxic") >= TOXIC_FROM).alias("toxic"))
