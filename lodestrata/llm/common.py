@@ -35,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches, unless the session has set its own: at whole texts a row, 10,000 rows are tens of MB in
+    the JVM, in Arrow and in pandas at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame, kind: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, lost executors
     cost nothing. The table goes when the session's JVM ends, or earlier through ``scratch``."""
@@ -91,6 +99,7 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
 def doc_ids(docs: DataFrame, *others: Column | str) -> DataFrame:
     """doc_id as a string, and others. Python sees a column of integers with a null in it as doubles, which
     merges large ids; strings keep them. ``back`` makes integers of them."""
+    arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *others)
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import back, letters, mix, rolling, word_hashes
+from .common import arrow_batches, back, letters, mix, rolling, word_hashes
 
 SAMPLES, ROWS_PER_RANGE, MOST_RANGES, BLOCK = 64, 400, 32_768, 128
 _PLUS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -127,6 +127,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     doc_ids come last.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 62))))
+    arrow_batches(docs.sparkSession)
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
     edges = sorted(set(docs.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []), reverse=True) if ranges > 1 else []

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import arrow_batches, fresh
 
 DIM, GRAMS, BOUND = 1 << 15, 4, 8000
 REJECT_BELOW = 0.5
@@ -88,6 +88,7 @@ def temperature(logits: list[np.ndarray], gold: list[int]) -> float:
 
 def fit(labelled: DataFrame, bound: int = BOUND) -> dict:
     """labelled(doc_id, text, lang) -> model. Weights from at most ``bound`` rows, frequencies from all."""
+    arrow_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sums = labelled.select("text").mapInPandas(_frequencies, "n long, df array<long>").select("n", F.posexplode("df").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
     n, df = (sums[0]["n"] if sums else 0), np.zeros(DIM)
@@ -123,6 +124,7 @@ def predict(text: str | None, model: dict) -> tuple[str, float]:
 def identify(docs: DataFrame, model: dict) -> tuple[DataFrame, str]:
     """docs with a column of struct(lang_pred, score), and that column's name, which no other has. The
     prediction reads text alone, and no other column passes through Python."""
+    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages: a fixed size
 
     @F.pandas_udf("lang_pred string, score double")

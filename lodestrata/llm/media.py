@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_batches, cut
 
 UNIT, RATE, LEAST, MOST, BITS = 192, 8000, 1024, 16384, 12
 _GEAR = np.random.Generator(np.random.PCG64(20240502)).integers(0, 1 << 32, 256, np.uint32)
@@ -190,6 +190,7 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, and what the rebuilt file gives."""
+    arrow_batches(docs.sparkSession)
     shared = chunk_lists(docs).select("key", F.lit(0).alias("rank"), "seq", "own", "digest", F.lit(None).cast("array<int>").alias("ends"), F.lit(None).cast("binary").alias("data"))
     packs = keyed(docs).select("key", "text").mapInPandas(_packs, "key binary, rank int, digest binary, ends array<int>, data binary")
     packs = packs.select("key", "rank", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("boolean").alias("own"), "digest", "ends", "data")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, arrow_batches
 
 WINDOW, BOUND, GRADES, SCALE, RARE, ODDS = 32, 8000, 4, 0.5, 0.02, 2.5
 #: P(grade > 0) from which a document counts as toxic.
@@ -127,6 +127,7 @@ def severity(text: str | None, model: dict | None, features: Features | None) ->
 
 def grade(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per row of docs: doc_id, severity, p_toxic, toxic."""
+    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the features of the sample
 
     @F.pandas_udf("severity double, p_toxic double")

@@ -86,10 +86,11 @@ def test_language(spark, empty):
     made = [(i, " ".join("".join(rng.choice(letters[g]) for _ in range(4)) for _ in range(8)), g) for i, g in enumerate(["aa", "bb"] * 60)]
     docs = spark.createDataFrame([*made, (500, None, "aa"), (501, "12 .", "bb"), (502, "abab", None)], "doc_id long, text string, lang string")
     model = language.fit(docs.where(~language.is_held_out()))
-    got = {r["doc_id"]: r for r in language.identify(docs, model, ["doc_id"]).collect()}
+    scored, name = language.identify(docs, model)
+    got = {r["doc_id"]: r for r in scored.select("doc_id", f"{name}.*").collect()}
     assert all(got[i]["lang_pred"] == g for i, _, g in made) and all(0 <= r["score"] <= 1 for r in got.values())
     assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und"
-    assert language.identify(empty, language.fit(empty), ["doc_id"]).count() == 0
+    assert language.identify(empty, language.fit(empty))[0].count() == 0
 
 
 def test_packing(docs, rows, empty):
@@ -263,7 +264,7 @@ def test_stages_keep_null_and_repeated_doc_ids(spark):
 
     docs = docs.where("at < 9")
     languages = docs.withColumn("lang", F.lit("aa"))
-    assert language.identify(languages, language.fit(languages), languages.columns).count() == 9
+    assert language.kept(languages, language.fit(languages)).count() == 9 and language.kept(docs, language.fit(docs.withColumn("lang", F.lit(None).cast("string")))).count() == 9
     packed = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     tokens = packing.pack(docs.withColumn("doc_id", F.col("at").cast("long"))).agg(F.sum("length")).first()[0]
     assert {r["doc_id"] for r in packed} == {None, 7, 8} and sum(r["n"] for r in packed) == tokens
