@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: Words as runs of anything but space, tab, LF, VT, FF and CR.
 BLANK_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-_BLOCK = 1_000_000
+_BLOCK = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -147,7 +147,7 @@ def _block(texts: list[str], inside: np.ndarray, lower: str) -> tuple[np.ndarray
         codes = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
     edge = np.flatnonzero(np.diff(inside[codes].view(np.int8))) + 1
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(21, len(codes).bit_length()))
+    up, down = _powers(1 << max(18, len(codes).bit_length()))
     sums = np.zeros(len(codes) + 1, np.uint64)
     # A word is a polynomial in its code points: a difference of prefix sums, moved to power 0.
     np.cumsum(_draws()[codes] * up[: len(codes)], out=sums[1:])
@@ -157,7 +157,7 @@ def _block(texts: list[str], inside: np.ndarray, lower: str) -> tuple[np.ndarray
 
 def word_hashes(texts: Iterable[str | None], inside: np.ndarray, lower: str = "") -> Iterator[np.ndarray]:
     """64-bit hashes of the words of each text (none if null), in order. ``inside`` tells which code
-    points are in words (blanks never are); ``lower`` is "all", "ascii" or nothing. Worked in blocks of about a million characters; a longer text is cut at blanks."""
+    points are in words (blanks never are); ``lower`` is "all", "ascii" or nothing. Worked in blocks of some 200,000 characters; a longer text is cut at blanks."""
     held, size = [], 0
 
     def flush() -> Iterator[np.ndarray]:
@@ -199,7 +199,7 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _powers(1 << max(21, len(hashes).bit_length()))
+    up, down = _powers(1 << max(18, len(hashes).bit_length()))
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
     return mix((sums[k:] - sums[:n]) * down[:n])

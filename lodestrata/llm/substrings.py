@@ -37,7 +37,7 @@ from .common import arrow_batches, cut, mix, not_blank, rolling, word_hashes
 
 WINDOW, STRIDE, PLACES = 13, 7, 8
 #: Bytes of text of a group, of a bucket's windows and of a task's block, windows of a task's block, and groups of a window above which all groups get its passage.
-GROUP_BYTES, BUCKET_BYTES, BLOCK_BYTES, FLUSH, MANY = 8 << 20, 12 << 20, 24 << 20, 1_200_000, 64
+GROUP_BYTES, BUCKET_BYTES, BLOCK_BYTES, FLUSH, MANY = 4 << 20, 12 << 20, 12 << 20, 800_000, 64
 _NULL, _ALL = -(1 << 62), -1
 
 
@@ -75,6 +75,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+def _short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What is known of a window: its bucket, and six bytes above."""
+    return (h // np.uint64(buckets) % np.uint64(1 << 48)) * np.uint64(buckets) + h % np.uint64(buckets)
+
+
 _PACKED = "bucket long, ids binary, counts binary, hashes binary, often binary, groups binary, again binary"
 
 
@@ -89,14 +94,15 @@ def _windows(buckets: int, groups: int):
         again = np.unique(doc[repeats])
         doc, h = doc[at], h[at]
         rows = {b: [b, b"", b"", b"", b"", b"", b""] for b in range(buckets)}
-        # The bucket has the low bits (8 at least), so seven bytes say the rest.
+        # The bucket has the low bits, 8 at least, and six bytes the ones above: 56 bits at 0.5 GB, 64 from 800 GB on. Two
+        # recurring windows that share them (0.003 pairs expected at 0.5 GB) could only leave the later one's 13 words in.
         for b, d, own in _blocks((h % np.uint64(buckets)).astype(np.int64), doc, h):
             order = np.argsort(d, kind="stable")
             ends = _starts(d[order])
-            rest = np.ascontiguousarray((own[order] >> np.uint64(8)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]
+            rest = np.ascontiguousarray((own[order] // np.uint64(buckets)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
             rows[b][1:4] = np.diff(d[order][ends[:-1]], prepend=0).tobytes(), np.diff(ends).astype(np.uint32).tobytes(), rest.tobytes()
         for b, x, t in _blocks((often % np.uint64(buckets)).astype(np.int64), often, to):
-            rows[b][4:6] = x.tobytes(), t.tobytes()
+            rows[b][4:6] = (x // np.uint64(buckets) % np.uint64(1 << 48)).tobytes(), t.tobytes()
         for b, d in _blocks(_group(again, buckets), again):
             rows[b][6] = d.tobytes()
         return pd.DataFrame([r for r in rows.values() if any(r[1:])], columns=["bucket", "ids", "counts", "hashes", "often", "groups", "again"])
@@ -118,15 +124,14 @@ def _windows(buckets: int, groups: int):
     return run
 
 
-def _recurring(groups: int):
+def _recurring(groups: int, buckets: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         docs, hashes = [], []
-        low = np.uint64(int(block["bucket"].iloc[0]) & 255)
         for ids, counts, h in zip(block["ids"], block["counts"], block["hashes"], strict=True):
-            full = np.zeros((len(h) // 7, 8), np.uint8)
-            full[:, :7] = np.frombuffer(h, np.uint8).reshape(-1, 7)
+            full = np.zeros((len(h) // 6, 8), np.uint8)
+            full[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
             docs.append(np.repeat(np.cumsum(np.frombuffer(ids, np.int64)), np.frombuffer(counts, np.uint32)))
-            hashes.append((full.view("<u8").ravel() << np.uint64(8)) | low)
+            hashes.append(full.view("<u8").ravel())
         doc, h, at, repeats = _repeats(np.concatenate(docs), np.concatenate(hashes))
         often, to, again = (np.frombuffer(b"".join(block[c]), t) for c, t in (("often", np.uint64), ("groups", np.int64), ("again", np.int64)))
         kind, least = h[at], doc[at]
@@ -136,6 +141,7 @@ def _recurring(groups: int):
         for g, a, b in _blocks(_group(s, groups), s, t):
             out.append((g, "to", a.tobytes(), b.tobytes()))
         many = np.isin(kind, np.concatenate([h[repeats], often]))
+        kind = kind * np.uint64(buckets) + np.uint64(block["bucket"].iloc[0])
         for g, a, b in _blocks(_group(least[many], groups), least[many], kind[many]):
             out.append((g, "source", a.tobytes(), b.tobytes()))
         again = np.unique(np.concatenate([doc[repeats], again]))
@@ -158,7 +164,7 @@ def _digest(words: list[bytes]) -> str:
 _FINAL = "kind string, t long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string, mark long"
 
 
-def _cut_out(groups: int):
+def _cut_out(groups: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted by group, packed rows (rank 0) before documents (rank 1)."""
         group, press = None, zstandard.ZstdDecompressor()
@@ -184,7 +190,8 @@ def _cut_out(groups: int):
                     at += max(size, 0)
                     words = _words(text)
                     if doc in sources and len(words) >= WINDOW:
-                        hit = np.isin(rolling(next(word_hashes([text], not_blank())), WINDOW), np.concatenate(sources[doc]))
+                        h = rolling(next(word_hashes([text], not_blank())), WINDOW)
+                        hit = np.isin(_short(h, buckets), np.concatenate(sources[doc]))
                         edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
                         for i, j in zip(edge[::2], edge[1::2], strict=True):
                             passage = b" ".join(words[i : j + WINDOW - 1]).decode("utf-8", "surrogatepass")
@@ -306,7 +313,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     groups, buckets = (max(16, 1 << (size // n).bit_length()) for n in (GROUP_BYTES, BUCKET_BYTES))
     buckets, tasks = max(256, buckets), max(16, groups // 4)
     packed = docs.mapInPandas(_windows(buckets, groups), _PACKED)
-    found = cut(packed.repartition(max(16, buckets // 4), "bucket").groupBy("bucket").applyInPandas(_recurring(groups), "g long, kind string, a binary, b binary"), "recurring")
+    found = cut(packed.repartition(max(16, buckets // 4), "bucket").groupBy("bucket").applyInPandas(_recurring(groups, buckets), "g long, kind string, a binary, b binary"), "recurring")
 
     def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Texts by group, each group's of a task's block as one compressed row: their vocabulary is shared."""
@@ -332,7 +339,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     schema = "g long, rank int, kind string, a binary, b binary"
     rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b").unionByName(docs.mapInPandas(travel, schema))
-    done = rows.repartition(tasks, "g").sortWithinPartitions("g", "rank").mapInPandas(_cut_out(groups), _FINAL)
+    done = rows.repartition(tasks, "g").sortWithinPartitions("g", "rank").mapInPandas(_cut_out(groups, buckets), _FINAL)
     if not keep_text:
         done = done.withColumn("text", F.when(F.col("kind") != "final", F.col("text")))
     done = cut(done, "cut")
