@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import language, mixing, near_duplicates, packing, substrings
-from lodestrata.llm.common import cut
+from lodestrata.llm.common import cut, fresh, scratch
 
 #: Model decisions, rounding and packing have no SQL form; see tests/llm.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those where no language is likelier than not."""
-    scored = language.identify(docs, language.fit(docs), docs.columns)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= language.REJECT_BELOW)).select(*docs.columns)
+    """Drops documents without letters and those where no language is likelier than not; without labelled rows, none."""
+    return language.kept(docs, language.fit(docs))
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +27,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null sorts before all doc_ids; rows that share a doc_id take nothing from each other and all stay."""
     found = substrings.remove_repeats(docs, keep_text=True).where("n_words > n_removed")
     # What stays of a text hangs on it and the doc_id alone, so rows equal in both have the same.
-    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("text").alias("_text")).dropDuplicates(["_id", "_of"])
-    rest = docs.withColumn("_mark", F.xxhash64("text")).drop("text", "n_chars")
-    joined = rest.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")))
-    return joined.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")).select(*docs.columns)
+    key, of, text, mark = fresh(docs.columns, "_id", "_of", "_text", "_mark")
+    found = found.select(F.col("doc_id").alias(key), F.col("mark").alias(of), F.col("text").alias(text)).dropDuplicates([key, of])
+    rest = docs.withColumn(mark, F.xxhash64("text")).drop("text", "n_chars")
+    joined = rest.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(of)))
+    return joined.withColumn("text", F.col(text)).withColumn("n_chars", F.length(text).cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
+    """All stages over documents; each one's result is written to the shared folder and read again, and
+    then the tables go that the stage wrote on its way."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = cut(stage(spark, docs, sf_dir), name)
+            made.remove(docs.cut_at)
     return docs
