@@ -1 +1,3 @@
-"""Spark-native retrieval, log analytics and ranking operators."""
+"""Retrieval, log and corpus analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"

@@ -1,82 +1,213 @@
-"""BM25, exact vector search, fusion and the reranker's stages."""
+"""Retrieval over chunks: BM25 postings, static embeddings, exact vector search, rank fusion and hybrid search.
+
+Many queries run as one job: queries(query_id, query), results (query_id, chunk_id, score, rank). Ties go by chunk_id.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import paths
 from lodestrata.functions import text as fn
+from lodestrata.operators import rerank
 
-K1, B, RRF_K = 1.5, 0.75, 60
+K1, B, RRF_K, SYMBOL_BOOST = 1.5, 0.75, 60, 50.0
+#: Rows of a block of vectors; of queries likewise.
+BLOCK = 4096
 
 
-def postings(files: DataFrame) -> DataFrame:
-    """(term, file_id, score) of the BM25 matrix: one shuffle by (file, term), one by term."""
-    terms = files.select("file_id", F.explode(fn.tokens(F.col("content"))).alias("term"))
-    tf = terms.groupBy("file_id", "term").agg(F.count("*").alias("tf"))
-    dl = files.select("file_id", F.size(fn.tokens(F.col("content"))).cast("long").alias("dl"))
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def chunk_id(file_id: Column, chunk: Column) -> Column:
+    """One number for a file's chunk: files may have a million chunks each."""
+    return file_id * 1_000_000 + chunk
+
+
+def enriched(chunks: DataFrame) -> DataFrame:
+    return chunks.select(chunk_id(F.col("file_id"), F.col("chunk")).alias("chunk_id"), "path", "content", paths.enrich(F.col("content"), F.col("path")).alias("text"))
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl) of texts(chunk_id, text): tokenised once, counted within the row, no shuffle."""
+    held = texts.select("chunk_id", F.array_sort(fn.tokens(F.col("text"))).alias("ts"))
+    # In a sorted list a term's count is the distance to the next term's first place.
+    first = F.filter(F.transform("ts", lambda t, i: F.struct(t.alias("term"), i.alias("at"), ((i == 0) | (F.get("ts", i - 1) != t)).alias("new"))), lambda x: x["new"])
+    ends = F.concat(F.slice(F.transform("f", lambda x: x["at"]), F.lit(2), F.size("f")), F.array(F.col("dl")))
+    counted = held.withColumn("dl", F.size("ts")).where("dl > 0").withColumn("f", first).withColumn("e", ends)
+    pairs = F.zip_with("f", "e", lambda x, e: F.struct(x["term"].alias("term"), (e - x["at"]).alias("tf")))
+    return counted.select("chunk_id", F.col("dl").cast("long").alias("dl"), F.explode(pairs).alias("p")).select("chunk_id", "p.term", F.col("p.tf").cast("long").alias("tf"), "dl")
+
+
+def corpus(texts: DataFrame) -> DataFrame:
+    """One row (n, avgdl); texts without a token count too."""
+    dl = texts.select(F.size(fn.tokens(F.col("text"))).alias("dl"))
+    return dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def weigh(tf: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, chunk_id, score) with the BM25 weight of each term of each chunk, where it is above 0."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(dl, "file_id").join(df, "term").crossJoin(F.broadcast(stats)).select("term", "file_id", score.alias("score")).where("score > 0")
+    return tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", score.alias("score")).where("score > 0")
 
 
-def bm25(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k files of each query(query_id, query); repeated query terms count again. Only the queries' terms are scored."""
-    wanted = queries.select("query_id", F.explode(fn.tokens(F.col("query"))).alias("term"))
-    sums = wanted.join(postings(files), "term").groupBy("query_id", "file_id").agg(F.round(F.sum("score"), 6).alias("score"))
-    return top(sums, "query_id", k)
+def postings(texts: DataFrame) -> DataFrame:
+    """The whole BM25 matrix as rows; one shuffle by term. Written once, it answers any query without the texts."""
+    tf = term_counts(texts)
+    return weigh(tf, tf.groupBy("term").agg(F.count("*").alias("df")), corpus(texts))
 
 
-def top(scored: DataFrame, group: str, k: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc("score"), "file_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times): repeated terms count again."""
+    return queries.select("query_id", F.explode(fn.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def bm25(kept: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Top k chunks of each query by sums over kept postings(term, chunk_id, score)."""
+    wanted = query_terms(queries)
+    sums = wanted.join(kept, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("score") * F.col("times")), 6).alias("score"))
+    return top(sums.where("score > 0"), k)
 
 
-def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
-    """Exact top k by dot product; queries are the rows whose id is divisible by ``every``, against all rows."""
-    q = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.crossJoin(q).select("query_id", F.col("vec_id").alias("file_id"), F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored, "query_id", k)
+def bm25_of_texts(texts: DataFrame, queries: DataFrame, k: int, few: int = 10_000) -> DataFrame:
+    """As ``bm25``, without kept postings: only the terms of the queries leave the tasks that read the texts.
 
+    Up to ``few`` distinct query terms are broadcast, after a count, so rows of other terms are dropped before any
+    shuffle; beyond that the same semi join is a shuffle by term.
+    """
+    wanted = query_terms(queries).cache()
+    asked = wanted.select("term").distinct()
+    small = asked.limit(few + 1).count() <= few
+    tf = term_counts(texts).join(F.broadcast(asked) if small else asked, "term", "left_semi")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return bm25(weigh(tf, df, corpus(texts)), queries, k)
 
-def reciprocal_rank(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id")
-    return scored.select("query_id", "file_id", (1 / (RRF_K + F.row_number().over(w))).alias("rrf"))
 
+def top(scored: DataFrame, k: int, group: str = "query_id", order: str = "score") -> DataFrame:
+    w = Window.partitionBy(group).orderBy(F.desc(order), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-def fuse(dense: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:
-    """alpha of dense ranks and the rest of lexical ones; what a list lacks counts 0."""
-    d, x = reciprocal_rank(dense).withColumnRenamed("rrf", "d"), reciprocal_rank(lexical).withColumnRenamed("rrf", "x")
-    zero = F.lit(0.0)
-    return d.join(x, ["query_id", "file_id"], "full_outer").select("query_id", "file_id", F.round(alpha * F.coalesce("d", zero) + (1 - alpha) * F.coalesce("x", zero), 9).alias("score"))
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-def decay(scored: DataFrame) -> DataFrame:
-    """The n-th result of a path counts half as much as the one before."""
-    w = Window.partitionBy("path").orderBy(F.desc("score"), "file_id")
-    return scored.withColumn("score", F.col("score") * F.pow(F.lit(0.5), F.row_number().over(w) - 1))
 
+def embed(texts: DataFrame, vocabulary: DataFrame, key: str, pattern: str = r"[\p{L}\p{N}_]+", few: int = 2_000_000) -> DataFrame:
+    """(key, vec): mean of the vectors of a text's words, of length 1; zeros if none is known.
+
+    vocabulary(token, vec). It is broadcast up to ``few`` tokens, after a count; beyond that it meets the words by a shuffle.
+    Texts are summed word by word: a word's times go to its one row first.
+    """
+    size = F.size(F.first("vec"))
+    dims = vocabulary.agg(F.count("*").alias("n"), size.alias("d")).first()
+    if not dims["n"]:
+        return texts.select(key, F.array().cast("array<double>").alias("vec"))
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
+    met = words.join(F.broadcast(vocabulary) if dims["n"] <= few else vocabulary, "token")
+    spread = met.select(key, "times", F.posexplode("vec").alias("d", "v")).groupBy(key, "d").agg(F.sum(F.col("v").cast("double") * F.col("times")).alias("s"))
+    whole = spread.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("vec"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    unit = whole.withColumn("norm", norm).select(key, F.when(F.col("norm") > 1e-10, F.transform("vec", lambda x: x / F.col("norm"))).otherwise(F.col("vec")).alias("vec"))
+    return texts.select(key).join(unit, key, "left").select(key, F.coalesce("vec", F.array_repeat(F.lit(0.0), dims["d"])).alias("vec"))
+
+
+def check_dim(vectors: DataFrame, dim: int) -> DataFrame:
+    """vectors(…, vec); a row of another length is an error when it is read."""
+    return vectors.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit(f"a vector has not {dim} dimensions but "), F.size("vec")))))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact top k of vectors(chunk_id, vec) by dot product for each of queries(query_id, vec).
+
+    Queries come in blocks of ``BLOCK`` packed rows. A pair of a query block and a block of vectors is one matrix product, of which
+    the top k of each query leave the task; a window over k rows a block merges them. So every vector meets every
+    query, and no row for a pair exists.
+    """
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), BLOCK):
+                part = batch.iloc[i : i + BLOCK]
+                m = np.array(part["vec"].tolist(), np.float64)
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], "n": [len(part)]})
+
+    shape = "ids binary, m binary, n int"
+    blocks = lambda df, c: df.where("vec is not null").select(F.col(c).alias("id"), "vec").mapInPandas(pack, shape)
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for qi, qm, qn, ids, m, n in batch.itertuples(index=False):
+                q, v = np.frombuffer(qm).reshape(qn, -1), np.frombuffer(m).reshape(n, -1)
+                qids, vids = np.frombuffer(qi, np.int64), np.frombuffer(ids, np.int64)
+                for a in range(0, qn, 512):
+                    s = np.round(q[a : a + 512] @ v.T, 6)
+                    order = np.lexsort((np.broadcast_to(vids, s.shape), -s), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(qids[a : a + 512], order.shape[1]), "chunk_id": vids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    q = blocks(queries, "query_id").select(F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("n").alias("qn"))
+    pairs = blocks(vectors, "chunk_id").join(q).select("qi", "qm", "qn", "ids", "m", "n")  # blocks by blocks, a few rows
+    return top(pairs.mapInPandas(product, "query_id long, chunk_id long, score double"), k)
 
-def coherence(scored: DataFrame) -> DataFrame:
-    """The best result of a path gains 0.15 of the maximum in proportion to the path's sum."""
-    sums = scored.groupBy("path").agg(F.sum("score").alias("path_sum"))
-    best = scored.agg(F.max("score").alias("top")).crossJoin(sums.agg(F.max("path_sum").alias("top_sum")))
-    w = Window.partitionBy("path").orderBy(F.desc("score"), "file_id")
-    joined = scored.join(sums, "path").crossJoin(F.broadcast(best)).withColumn("rn", F.row_number().over(w))
-    gain = F.when(F.col("rn") == 1, F.col("top") * 0.15 * F.col("path_sum") / F.col("top_sum")).otherwise(0.0)
-    return joined.select("file_id", "path", (F.col("score") + gain).alias("score"))
 
+def reciprocal_rank(scored: DataFrame) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.select("query_id", "chunk_id", (1 / (RRF_K + F.row_number().over(w))).alias("rrf"))
 
-def ndcg(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """Per query NDCG at k, gain 2^rel - 1, ideal from all its labels. ranked(query_id, file_id, rank), labels(query_id, file_id, relevance)."""
-    gain = F.pow(F.lit(2.0), F.col("relevance")) - 1
-    got = ranked.where(F.col("rank") <= k).join(labels, ["query_id", "file_id"]).groupBy("query_id").agg(F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "file_id")
-    best = labels.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain / F.log2(F.col("r") + 1)).alias("ideal"))
-    return best.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 4).alias("ndcg"))
+
+def fuse(dense: DataFrame, lexical: DataFrame, alpha: float | DataFrame) -> DataFrame:
+    """alpha of dense ranks and the rest of lexical ones; what a list lacks counts 0. alpha: a number, or (query_id, alpha)."""
+    d, x = reciprocal_rank(dense).withColumnRenamed("rrf", "d"), reciprocal_rank(lexical).withColumnRenamed("rrf", "x")
+    zero, both = F.lit(0.0), d.join(x, ["query_id", "chunk_id"], "full_outer")
+    both = both.withColumn("alpha", F.lit(float(alpha))) if isinstance(alpha, int | float) else both.join(alpha, "query_id")
+    a = F.col("alpha")
+    return both.select("query_id", "chunk_id", F.round(a * F.coalesce("d", zero) + (1 - a) * F.coalesce("x", zero), 9).alias("score"))
+
+
+def boost_symbols(scored: DataFrame, queries: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds 50 for each definition of a symbol query's name that lies in a chunk; such chunks join the list if they weren't on it.
+
+    symbols(path, name, start_line), chunks(chunk_id, path, start_line, end_line).
+    """
+    from lodestrata.operators import code
+
+    named = queries.where(fn.is_symbol_query(F.col("query"))).select("query_id", F.element_at(F.split(fn.strip(F.col("query")), "::"), -1).alias("name"))
+    defs = code.lookup(symbols, named).select("query_id", "path", F.col("start_line").alias("line"))
+    spans = chunks.select("chunk_id", "path", "start_line", "end_line")
+    hits = defs.join(spans, (defs["path"] == spans["path"]) & F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("query_id", "chunk_id").agg((F.count("*") * SYMBOL_BOOST).alias("more"))
+    both = scored.join(hits, ["query_id", "chunk_id"], "full_outer")
+    return both.select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def hybrid(
+    queries: DataFrame, chunks: DataFrame, kept: DataFrame, dense: DataFrame | None = None, symbols: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None,
+    k: int = 5, override: Column | None = None, config: rerank.Config | None = None,
+) -> DataFrame:
+    """Top 2 k of each query: BM25 of the extended query and dense(query_id, chunk_id, score) fused, symbols boosted, reranked.
+
+    chunks(chunk_id, path, content, start_line, end_line). Only candidates, some 10 k a query, meet texts.
+    """
+    longer = queries.select("query_id", fn.expand_synonyms(F.col("query")).alias("query"))
+    lexical = bm25(kept, longer, 5 * k).select("query_id", "chunk_id", "score")
+    dense = lexical.limit(0) if dense is None else top(dense, 5 * k).select("query_id", "chunk_id", "score")
+    fused = fuse(dense, lexical, queries.select("query_id", fn.resolve_alpha(F.col("query"), override).alias("alpha")))
+    if symbols is not None:
+        fused = boost_symbols(fused, queries, symbols, chunks)
+    cards = fused.join(chunks.select("chunk_id", "path", "content"), "chunk_id").join(queries, "query_id")
+    return rerank.run(cards, 2 * k, nodes, edges, config or rerank.Config())
+
+
+def search(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, skip: int = 0, budget: int | None = None) -> DataFrame:
+    """A page of ranked results as rows: query_id, path, line, column, match, snippet, relevance, hash, rank, token."""
+    from lodestrata.operators import lines
+
+    rows = ranked.where(F.col("rank") > skip).join(chunks.select("chunk_id", "path", "content", "start_line"), "chunk_id").join(queries, "query_id")
+    total = Window.partitionBy("query_id")
+    rows = rows.withColumn("total", F.max("rank").over(total))
+    if budget is not None:
+        rows = lines.retain(rows, ["query_id"], ["rank"], fn.count_fast(F.col("content")), budget)
+    w = Window.partitionBy("query_id").orderBy("rank")
+    page = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).withColumn("last", F.max("rank").over(total))
+    token = F.when(F.col("last") < F.col("total"), fn.page_token(F.col("last")))
+    return page.select("query_id", "path", F.col("start_line").alias("line"), F.lit(1).alias("column"), F.col("query").alias("match"), F.col("content").alias("snippet"), F.col("score").alias("relevance"), F.md5("content").alias("hash"), "rank", token.alias("token"))

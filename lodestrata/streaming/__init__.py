@@ -1,0 +1 @@
+"""Structured streams over the same operators."""
