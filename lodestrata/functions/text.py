@@ -93,7 +93,7 @@ def expand_synonyms(q: Column) -> Column:
 def resolve_alpha(q: Column, override: Column | None = None) -> Column:
     """The weight of dense ranks; an override is held within 0 and 1."""
     own = F.when(is_symbol_query(q), ALPHA_SYMBOL).when(expand_synonyms(q) != q, ALPHA_SYNONYM).otherwise(ALPHA_OTHER)
-    return own if override is None else F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), override)), own)
+    return own if override is None else F.when(override.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), override))).otherwise(own)
 
 
 def defines_symbol(text: Column, names: Column) -> Column:

@@ -1,170 +1,19 @@
-"""Registry of the queries that the driver runs, each with SQL of its own where SQL can say it."""
+"""All queries that the driver runs, each with SQL of its own where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestrata.functions import text as fn
-from lodestrata.operators import graph, lines, retrieval
-from lodestrata.sources import adapters as src
+from lodestrata.plans import base, line_queries, search, structure, texts
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-_CASES = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(src.DIRS)) + " END"
-_ENDS = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(src.ENDS)) + " END"
-_FILES = f"files AS (SELECT doc_id AS file_id, {_CASES} || '/' || source || '/' || lang || '_' || doc_id || {_ENDS} AS path, strlen(text) AS size, lang AS language, text AS content FROM documents)"
-_LINES = "lined AS (SELECT doc_id AS file_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text <> '')"
-_WORDS = "regexp_extract_all({0}, '[a-zA-Z_][a-zA-Z0-9_]*')"
-_BROKEN = r"regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
-_PARTS = f"CASE WHEN contains(w, '_') THEN list_filter(string_split(w, '_'), lambda p: p <> '') ELSE string_split({_BROKEN}, ' ') END"
-_SPLIT = f"CASE WHEN len({_PARTS}) >= 2 THEN list_prepend(lower(w), list_transform({_PARTS}, lambda p: lower(p))) ELSE [lower(w)] END"
-_TERMS = f"terms AS (SELECT file_id, unnest({_SPLIT}) AS term FROM (SELECT doc_id AS file_id, unnest({_WORDS.format('text')}) AS w FROM documents))"
-_BM25 = f"""{_TERMS}, tf AS (SELECT file_id, term, count(*) AS tf FROM terms GROUP BY ALL),
- dl AS (SELECT doc_id AS file_id, coalesce(n, 0) AS dl FROM documents LEFT JOIN (SELECT file_id, count(*) AS n FROM terms GROUP BY ALL) x ON x.file_id = doc_id),
- st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
- post AS (SELECT term, file_id, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf JOIN dl USING (file_id) JOIN df USING (term) CROSS JOIN st),
- q AS (SELECT query_id, unnest({_SPLIT}) AS term FROM (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS w FROM benchmark)),
- lex AS (SELECT query_id, file_id, round(sum(score), 6) AS score FROM q JOIN post USING (term) WHERE score > 0 GROUP BY ALL)"""
-_EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey)"
-_DOT = "round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def _files(spark, d):
-    return src.files(src.table(spark, d, "documents"))
-
-
-@query("a6_language_totals", "SELECT lang AS language, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text) // 4)::BIGINT AS tokens FROM documents GROUP BY lang")
-def language_totals(spark, d):
-    f = _files(spark, d)
-    return f.groupBy("language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(fn.count_fast(F.col("content"))).alias("tokens"))
-
-
-@query("f6_path_penalty", f"""WITH {_FILES} SELECT file_id, path, regexp_extract(path, '[^./]\\.([^./]+)$', 1) AS ext,
- round((CASE WHEN regexp_matches(path, '{fn.TEST}') THEN 0.3 ELSE 1 END)::DOUBLE * (CASE WHEN contains(path, '/compat/') OR contains(path, '/_compat/') OR contains(path, '/legacy/') THEN 0.3 ELSE 1 END)::DOUBLE
- * (CASE WHEN contains(path, '/examples/') OR contains(path, '/example/') OR contains(path, '/docs_src/') THEN 0.3 ELSE 1 END)::DOUBLE
- * (CASE WHEN regexp_matches(path, '(^|/)(__init__\\.py|package-info\\.java)$') THEN 0.5 ELSE 1 END)::DOUBLE * (CASE WHEN path LIKE '%.d.ts' THEN 0.7 ELSE 1 END)::DOUBLE, 6) AS penalty FROM files""")
-def path_penalty(spark, d):
-    return _files(spark, d).select("file_id", "path", F.coalesce(fn.extension(F.col("path")), F.lit("")).alias("ext"), F.round(fn.path_penalty(F.col("path")), 6).alias("penalty"))
-
-
-@query("f1_tokens", f"WITH {_TERMS} SELECT file_id, count(*) AS n, count(DISTINCT term) AS n_distinct, min(term) AS least, max(term) AS greatest FROM terms GROUP BY file_id")
-def tokens(spark, d):
-    t = _files(spark, d).select("file_id", F.explode(fn.tokens(F.col("content"))).alias("term"))
-    return t.groupBy("file_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_distinct"), F.min("term").alias("least"), F.max("term").alias("greatest"))
-
-
-@query("p1_line_scan", f"""WITH {_LINES} SELECT file_id, line::INT AS line, (strlen(regexp_extract(text, '^(.*?)(licen[sc]e)', 1)) + 1)::INT AS "column", regexp_extract(text, 'licen[sc]e') AS match,
- (SELECT string_agg(x.text, chr(10) ORDER BY x.line) FROM lined x WHERE x.file_id = l.file_id AND x.line BETWEEN l.line - 2 AND l.line + 2) AS snippet FROM lined l WHERE regexp_matches(text, 'licen[sc]e')""")
-def line_scan(spark, d):
-    return lines.scan(_files(spark, d), "licen[sc]e")
-
-
-@query("w4_entropy_lines", f"""WITH {_LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY file_id, regexp_replace(trim(text), '[0-9]', 'N', 'g') ORDER BY line) AS rn, count(*) OVER (PARTITION BY file_id) AS n FROM lined)
- SELECT file_id, count(*) AS kept, sum(strlen(text))::BIGINT AS bytes FROM m WHERE n < 10 OR rn <= 3 GROUP BY file_id""")
-def entropy(spark, d):
-    kept = lines.entropy(src.line_rows(_files(spark, d)))
-    return kept.groupBy("file_id").agg(F.count("*").alias("kept"), F.sum(F.octet_length("text")).alias("bytes"))
-
-
-@query("w10_tail", f"WITH {_LINES} SELECT file_id, line::INT AS line, text FROM lined QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line DESC) <= 2")
-def tail(spark, d):
-    return lines.tail(src.line_rows(_files(spark, d)).select("file_id", "line", "text"), 2)
-
-
-@query("w6_run_length", """WITH c AS (SELECT *, coalesce((event_type <> lag(event_type) OVER w)::INT, 1) AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
- r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM c) SELECT user_id, run, event_type, count(*) AS times FROM r GROUP BY ALL""")
-def run_length(spark, d):
-    return lines.collapse(src.table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
-
-
-@query("w5_retain_within", """WITH c AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT) AS costs FROM lineitem GROUP BY l_suppkey),
- k AS (SELECT l_suppkey, list_reduce(list_prepend([0]::BIGINT[], list_transform(costs, lambda c: [c])), lambda a, c: CASE WHEN list_sum(a) + c[1] <= 500 THEN list_append(a, c[1]) ELSE a END) AS kept FROM c)
- SELECT l_suppkey, (len(kept) - 1)::INT AS n, list_sum(kept)::BIGINT AS used FROM k""")
-def retain(spark, d):
-    rows = src.table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("cost")).alias("r"))
-    costs = rows.groupBy("l_suppkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["cost"]).alias("costs"))
-    kept = costs.select("l_suppkey", lines.retain_within(F.col("costs"), 500).alias("kept"))
-    return kept.select("l_suppkey", F.size("kept").alias("n"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x).alias("used"))
-
-
-@query("a2_bm25_topk", f"WITH {_BM25} SELECT query_id, file_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id)::INT AS rank FROM lex QUALIFY rank <= 10")
-def bm25(spark, d):
-    return retrieval.bm25(_files(spark, d), src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
-
-
-@query("r5_dense_topk", f"""SELECT q.vec_id AS query_id, v.vec_id AS file_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id)::INT AS rank
- FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10""")
-def dense(spark, d):
-    return retrieval.nearest(src.table(spark, d, "embeddings"), 100, 10)
-
-
-@query("a11_ndcg", f"""WITH {_BM25}, r AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM lex QUALIFY rank <= 10),
- lab AS (SELECT b.item_id AS query_id, x.doc_id AS file_id, 3 AS relevance FROM benchmark b JOIN documents x ON contains(x.text, b.text)),
- got AS (SELECT query_id, sum((2.0 ** relevance - 1) / log2(rank + 1)) AS dcg FROM r JOIN lab USING (query_id, file_id) GROUP BY query_id),
- ideal AS (SELECT query_id, sum((2.0 ** relevance - 1) / log2(n + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, file_id) AS n FROM lab) WHERE n <= 10 GROUP BY query_id)
- SELECT query_id, round(coalesce(dcg, 0) / ideal, 4) AS ndcg FROM ideal LEFT JOIN got USING (query_id)""")
-def ndcg(spark, d):
-    b = src.table(spark, d, "benchmark")
-    labels = src.table(spark, d, "documents").join(b.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage")))
-    return retrieval.ndcg(bm25(spark, d), labels.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("file_id"), F.lit(3).alias("relevance")), 10)
-
-
-@query("w2_saturation_decay", "SELECT vec_id AS file_id, round(s * 0.5 ** (row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) - 1), 6) AS score FROM (SELECT vec_id, label, abs(embedding[1]::DOUBLE) AS s FROM embeddings)")
-def saturation(spark, d):
-    return retrieval.decay(_scored(spark, d)).select("file_id", F.round("score", 6).alias("score"))
-
-
-@query("w3_coherence", """WITH e AS (SELECT vec_id, label, abs(embedding[1]::DOUBLE) AS s FROM embeddings), p AS (SELECT label, sum(s) AS ps FROM e GROUP BY label), m AS (SELECT (SELECT max(s) FROM e) AS t, (SELECT max(ps) FROM p) AS ts)
- SELECT vec_id AS file_id, round(s + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1 THEN t * 0.15 * ps / ts ELSE 0 END, 6) AS score FROM e JOIN p USING (label) CROSS JOIN m""")
-def coherence(spark, d):
-    return retrieval.coherence(_scored(spark, d)).select("file_id", F.round("score", 6).alias("score"))
-
-
-def _scored(spark, d):
-    return src.table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.col("label").cast("string").alias("path"), F.abs(F.element_at("embedding", 1).cast("double")).alias("score"))
-
-
-@query("a8_telemetry", """SELECT event_type AS command, count(*) AS calls, round(sum(value), 2) AS actual, round(100 * (1 - sum(value) / sum(value * (1 + (props->>'$.k')::DOUBLE / 10))), 1) AS saved_pct FROM events GROUP BY event_type""")
-def telemetry(spark, d):
-    t = src.telemetry(src.table(spark, d, "events"))
-    return t.groupBy("command").agg(F.count("*").alias("calls"), F.round(F.sum("actual"), 2).alias("actual"), F.round(100 * (1 - F.sum("actual") / F.sum("baseline")), 1).alias("saved_pct"))
-
-
-@query("r15_reverse_bfs", f"""WITH {_EDGES}, h1 AS (SELECT DISTINCT src AS node FROM edges WHERE dst = 1 AND src <> 1), h2 AS (SELECT DISTINCT src AS node FROM edges JOIN h1 ON dst = node WHERE src <> 1 AND src NOT IN (SELECT node FROM h1))
- SELECT node, 1 AS hop FROM h1 UNION ALL SELECT node, 2 AS hop FROM h2""")
-def reverse_bfs(spark, d):
-    return graph.reach(src.part_edges(src.table(spark, d, "lineitem")), [1], 2)
-
-
-@query("a16_fan_in_out", f"WITH {_EDGES} SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY node")
-def fan(spark, d):
-    e = src.part_edges(src.table(spark, d, "lineitem"))
-    both = e.select(F.explode(F.array(F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x")).select("x.*")
-    return both.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
-
-
-@query("s7_content_hash", "SELECT doc_id AS file_id, md5(text) AS hash FROM documents")
-def content_hash(spark, d):
-    return _files(spark, d).select("file_id", F.md5("content").alias("hash"))
+MODULES = (texts, line_queries, search, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(base.SQL)
