@@ -32,12 +32,17 @@ def replaced(content: Column, find: str, replace: str, regex: bool = False, ever
 
     within = lambda i: F.lit(True) if first is None else F.coalesce((i + 1).between(first, last), F.lit(True))
     has = lambda x: x.rlike(pattern) if regex else x.contains(find)
-    spots = F.filter(F.transform(ls, lambda x, i: F.struct((i + 1).alias("line"), x.alias("before"), new(x).alias("after"), (has(x) & within(i)).alias("hit"))), lambda s: s["hit"])
-    if not regex and not every:
-        spots = F.slice(spots, 1, 1)
-    changed = F.transform(spots, lambda s: F.struct(s["line"].cast("int").alias("line"), s["before"].alias("before"), s["after"].alias("after")))
-    table = F.map_from_arrays(F.transform(changed, lambda s: s["line"]), F.transform(changed, lambda s: s["after"]))
-    text = F.array_join(F.transform(ls, lambda x, i: F.coalesce(F.try_element_at(table, (i + 1).cast("int")), x)), "\n")
+    change = lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("before"), F.when(has(x) & within(i), new(x)).alias("after"))
+    if regex or every:
+        all_ = F.transform(ls, change)
+        lines_, changed = F.transform(all_, lambda c: F.coalesce(c["after"], c["before"])), F.filter(all_, lambda c: c["after"].isNotNull())
+    else:
+        # Only the first line that has it: what lies before and after is left as it is.
+        at = F.array_position(F.transform(ls, lambda x, i: has(x) & within(i)), True).cast("int")
+        one = F.get(ls, at - 1)
+        lines_ = F.when(at > 0, F.concat(F.slice(ls, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(new(one)), F.slice(ls, at + 1, F.size(ls)))).otherwise(ls)
+        changed = F.when(at > 0, F.array(F.struct(at.alias("line"), one.alias("before"), new(one).alias("after")))).otherwise(F.array())
+    text = F.array_join(lines_, "\n")
     text = F.concat(text, F.when(content.endswith("\n") & ~text.endswith("\n"), "\n").otherwise(""))
     return F.struct(text.alias("text"), changed.cast(_CHANGE).alias("changes"))
 

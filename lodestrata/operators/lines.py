@@ -26,13 +26,12 @@ def scan(files: DataFrame, pattern: str) -> DataFrame:
 
     Lines are matched within the array; only hits are exploded, each with its snippet.
     """
-    spots = F.filter(F.transform(fn.lines(F.col("content")), lambda x, i: F.struct(i.alias("i"), x.alias("text"))), lambda x: x["text"].rlike(pattern))
-    hits = files.select("file_id", "path", "content", F.explode(F.transform(spots, lambda x: F.struct((x["i"] + 1).alias("line"), x["text"].alias("text"), snippet(fn.lines(F.col("content")), x["i"]).alias("snippet")))).alias("hit"))
+    held = files.select("file_id", "path", "content", fn.lines(F.col("content")).alias("ls"))
+    spots = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("text"))), lambda x: x["text"].rlike(pattern))
+    hits = held.select("file_id", "path", F.md5("content").alias("hash"), "ls", F.explode(spots).alias("hit"))
     text = F.col("hit.text")
     before = F.octet_length(F.regexp_extract(text, f"^(.*?)(?:{pattern})", 1))
-    return hits.select(
-        "file_id", "path", F.md5("content").alias("hash"), "hit.line", (before + 1).alias("column"), F.regexp_extract(text, pattern, 0).alias("match"), "hit.snippet", F.lit(1.0).alias("relevance")
-    )
+    return hits.select("file_id", "path", "hash", (F.col("hit.i") + 1).alias("line"), (before + 1).alias("column"), F.regexp_extract(text, pattern, 0).alias("match"), snippet(F.col("ls"), F.col("hit.i")).alias("snippet"), F.lit(1.0).alias("relevance"))
 
 
 def page(rows: DataFrame, order: list, k: int, skip: int = 0, budget: int | None = None, cost: Column | None = None) -> DataFrame:
@@ -65,16 +64,16 @@ def exists(vocabulary: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def entropy(content: Column, most: int = 3, least: int = 10) -> Column:
     """The text without the fourth and later line of a shape (trimmed, digits made N) and a note of how many
-    are gone. Unchanged if none is, or under ten lines. One pass: shapes are sorted with their places, and a line goes whose
-    third predecessor in that order has its shape."""
+    are gone. Unchanged if none is, or under ten lines. Lines are sorted by shape and place, a line goes whose
+    third predecessor in that order has its shape, and the others are sorted back."""
     ls = fn.lines(content)
-    marked = F.transform(ls, lambda x, i: F.struct(F.regexp_replace(fn.strip(x), "[0-9]", "N").alias("shape"), i.alias("i")))
-    ordered = F.array_sort(marked)
-    gone = F.transform(F.filter(F.zip_with(ordered, F.concat(F.array_repeat(F.lit(None).cast("string"), most), ordered["shape"]), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"]["shape"] == p["y"]), lambda p: p["x"]["i"])
-    table = F.map_from_arrays(gone, F.transform(gone, lambda _: F.lit(True)))
-    kept = F.filter(ls, lambda _, i: F.try_element_at(table, i).isNull())
-    note = F.concat(F.array_join(kept, "\n"), F.lit("\n\n... ("), F.size(gone), F.lit(" repetitive lines filtered)\n"))
-    return F.when((F.size(ls) < least) | (F.size(gone) == 0), content).otherwise(note)
+    ordered = F.array_sort(F.transform(ls, lambda x, i: F.struct(F.regexp_replace(fn.strip(x), "[0-9]", "N").alias("shape"), i.alias("i"), x.alias("text"))))
+    # zip_with pads the shorter list with nulls at its end: those are no lines.
+    shifted = F.zip_with(ordered, F.concat(F.array_repeat(F.lit(None).cast("string"), most), ordered["shape"]), lambda x, y: F.struct(x["i"].alias("i"), x["text"].alias("text"), x["shape"].eqNullSafe(y).alias("gone")))
+    kept = F.array_sort(F.filter(shifted, lambda x: x["i"].isNotNull() & ~x["gone"]))
+    gone = F.size(ls) - F.size(kept)
+    note = F.concat(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), F.lit("\n\n... ("), gone, F.lit(" repetitive lines filtered)\n"))
+    return F.when((F.size(ls) < least) | (gone == 0), content).otherwise(note)
 
 
 def level(text: Column) -> Column:
@@ -125,11 +124,10 @@ def tail_length(exit_code: Column) -> Column:
 
 def collapse_blanks(content: Column) -> Column:
     """One empty line for each run of blank lines, none at either end, a final LF."""
-    ls = fn.lines(content)
-    blank = F.transform(ls, lambda x: fn.strip(x) == "")
-    kept = F.filter(ls, lambda _, i: ~F.get(blank, i) | ((i > 0) & ~F.coalesce(F.get(blank, i - 1), F.lit(True))))
-    text = F.array_join(F.transform(kept, lambda x: F.when(fn.strip(x) == "", "").otherwise(x)), "\n")
-    return F.concat(F.regexp_replace(text, "\n$", ""), F.lit("\n"))
+    ls = F.transform(fn.lines(content), lambda x: F.when(fn.strip(x) == "", "").otherwise(x))
+    pairs = F.zip_with(ls, F.concat(F.array(F.lit("")), ls), lambda x, y: F.struct(x.alias("x"), y.alias("before")))
+    kept = F.filter(pairs, lambda p: (p["x"] != "") | (p["before"] != ""))
+    return F.concat(F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"), "\n$", ""), F.lit("\n"))
 
 
 def first_reference(files: DataFrame, symbol: str) -> DataFrame:

@@ -233,20 +233,23 @@ def _json(out: Column, opening: str, schema: str) -> tuple[Column, Column]:
 
 def eslint(ls, out, code):
     issue, closing = r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.+?)\s{2,}(\S+)\s*$", r"(\d+) problems? \((\d+) errors?, (\d+) warnings?\)"
-    files = F.filter(_place(ls), lambda s: (fn.strip(s["x"]) != "") & ~fn.strip(s["x"]).rlike("^[✖×]") & ~s["x"].rlike(issue) & ~s["x"].rlike(closing))
+    named = lambda x: (fn.strip(x) != "") & ~fn.strip(x).rlike("^[✖×]") & ~x.rlike(issue) & ~x.rlike(closing)
 
-    def where(s):
-        file = F.try_element_at(F.filter(files, lambda f: f["i"] < s["i"]), F.lit(-1))["x"]
-        return F.concat_ws(":", fn.strip(file), _group(s["x"], issue, 1), _group(s["x"], issue, 2))
+    # One pass that carries the file's name along; only issues are appended.
+    def step(s, x):
+        diag = _diag(_group(x, issue, 5), _group(x, issue, 4), F.concat_ws(":", s["file"], _group(x, issue, 1), _group(x, issue, 2)))
+        add = lambda kind, to: F.when(x.rlike(issue) & (_group(x, issue, 3) == kind), F.array_append(to, diag)).otherwise(to)
+        return F.struct(F.when(named(x), fn.strip(x)).otherwise(s["file"]).alias("file"), add("error", s["e"]).alias("e"), add("warning", s["w"]).alias("w"))
 
-    made = lambda kind: F.transform(F.filter(_place(ls), lambda s: s["x"].rlike(issue) & (_group(s["x"], issue, 3) == kind)), lambda s: _diag(_group(s["x"], issue, 5), _group(s["x"], issue, 4), where(s))).cast(_DIAG)
+    zero = F.struct(F.lit(None).cast("string").alias("file"), F.array().cast(_DIAG).alias("e"), F.array().cast(_DIAG).alias("w"))
+    read_text = F.aggregate(ls, zero, step)
     is_json, doc = _json(out, "[", "array<struct<filePath:string,messages:array<struct<severity:bigint,message:string,line:bigint,column:bigint,ruleId:string>>>>")
     is_object, _ = _json(out, "{", "struct<a:int>")
     whole = lambda m: m["severity"].isNotNull() & m["message"].isNotNull() & (m["line"] >= 0) & (m["column"] >= 0) & m["ruleId"].isNotNull()
     flat = F.flatten(F.transform(F.filter(doc, lambda f: f["filePath"].isNotNull() & f["messages"].isNotNull()), lambda f: F.transform(F.filter(f["messages"], whole), lambda m: F.struct((m["severity"] == 2).alias("e"), _diag(m["ruleId"], m["message"], _text(f["filePath"], ":", m["line"], ":", m["column"])).alias("d")))))
     read = lambda e: F.transform(F.filter(flat, lambda m: m["e"] == e), lambda m: m["d"]).cast(_DIAG)
     none = F.array().cast(_DIAG)
-    errors, warnings = (F.when(is_json, read(e)).when(is_object, none).otherwise(made(k)) for e, k in ((True, "error"), (False, "warning")))
+    errors, warnings = (F.when(is_json, read(e)).when(is_object, none).otherwise(read_text[k]) for e, k in ((True, "e"), (False, "w")))
     return _result(_counted(F.size(errors), F.size(warnings), "no issues"), failures=errors, warnings=warnings)
 
 
@@ -324,14 +327,16 @@ _BAD_PHASES = ["failed", "crashloopbackoff", "error", "pending"]
 def kubectl(ls, out, code):
     status, event, restart = r"^Status:\s+(\S+)", r"^\s+(Normal|Warning)\s+(\S+)\s+\S+\s+\S+\s+(.+?)\s*$", r"(?i)restart\s*count:\s*(\d+)"
     condition = r"^\s+(Initialized|Ready|PodScheduled|ContainersReady|Available|Progressing)\s+(\S+)"
-    heads = F.transform(F.filter(_place(ls), lambda s: s["x"].rlike(r"^\s*Events:") & ~s["x"].rlike(status)), lambda s: s["i"])
-    events_from = F.coalesce(F.array_min(heads), F.size(ls))
-    rest = F.filter(_place(ls), lambda s: ~s["x"].rlike(status) & ~s["x"].rlike(r"^\s*Events:"))
+    is_events = lambda x: x.rlike(r"^\s*Events:") & ~x.rlike(status)
+    # Conditions count up to the first "Events:" line: the lines are marked by the side they are on.
+    at = F.coalesce(F.nullif(F.array_position(F.transform(ls, is_events), True), F.lit(0).cast("long")).cast("int"), F.size(ls) + 1)
+    side = lambda xs, early: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(early).alias("early")))
+    marked = F.concat(side(F.slice(ls, F.lit(1), at - 1), True), side(F.slice(ls, at, F.size(ls)), False))
+    early = lambda s: s["early"] & s["x"].rlike(condition)
     phase = lambda p: _diag("kubectl/phase", _text("status: ", p))
-    early = lambda s: (s["i"] < events_from) & s["x"].rlike(condition)
-    bad = F.filter(_place(ls), lambda s: F.when(s["x"].rlike(status), F.lower(_group(s["x"], status, 1)).isin(_BAD_PHASES)).otherwise(~s["x"].rlike(r"^\s*Events:") & early(s) & (_group(s["x"], condition, 2) != "True")))
+    bad = F.filter(marked, lambda s: F.when(s["x"].rlike(status), F.lower(_group(s["x"], status, 1)).isin(_BAD_PHASES)).otherwise(~is_events(s["x"]) & early(s) & (_group(s["x"], condition, 2) != "True")))
     failures = F.transform(bad, lambda s: F.when(s["x"].rlike(status), phase(_group(s["x"], status, 1))).otherwise(_diag(_text("kubectl/condition/", _group(s["x"], condition, 1)), _text(_group(s["x"], condition, 1), "=", _group(s["x"], condition, 2))))).cast(_DIAG)
-    later = F.filter(rest, lambda s: ~early(s) & F.when(s["x"].rlike(event), _group(s["x"], event, 1) == "Warning").otherwise(s["x"].rlike(restart) & (F.coalesce(_group(s["x"], restart, 1).try_cast("long"), F.lit(0)) > 0)))
+    later = F.filter(marked, lambda s: ~s["x"].rlike(status) & ~is_events(s["x"]) & ~early(s) & F.when(s["x"].rlike(event), _group(s["x"], event, 1) == "Warning").otherwise(s["x"].rlike(restart) & (F.coalesce(_group(s["x"], restart, 1).try_cast("long"), F.lit(0)) > 0)))
     warnings = F.transform(later, lambda s: F.when(s["x"].rlike(event), _diag(_text("kubectl/event/", _group(s["x"], event, 2)), fn.strip(_group(s["x"], event, 3)))).otherwise(_diag("kubectl/restarts", _text("restart count: ", _group(s["x"], restart, 1).try_cast("long"))))).cast(_DIAG)
     named = _last(ls, status)
     schema = "items array<struct<status:struct<phase:string,conditions:array<struct<type:string,status:string>>,events:array<struct<type:string,reason:string,message:string>>,containerStatuses:array<struct<restartCount:bigint>>>>>"
@@ -361,10 +366,12 @@ def kubectl_logs(ls, out, code):
     runs = F.filter(runs, lambda r: r["level"].isNotNull())
     shown = lambda r: F.when(r["n"] > 1, _text(r["x"], " [repeated ", r["n"], " times]")).otherwise(r["x"])
     made = lambda bad: F.transform(F.filter(runs, lambda r: (r["level"] != "WARN") == bad), lambda r: _diag(_text("log/", r["level"]), shown(r))).cast(_DIAG)
-    first = F.get(F.filter(F.transform(runs, lambda r: r["i"]), lambda i: i > 0), F.lit(0))
-    before = F.get(ls, first - 1)
-    context = F.when((fn.strip(before) != "") & lines.level(before).isNull(), F.concat(F.lit("context: "), before))
-    emitted = F.flatten(F.transform(runs, lambda r: F.when(r["i"].eqNullSafe(first) & context.isNotNull(), F.array(context, shown(r))).otherwise(F.array(shown(r)))))
+    # The context comes before the first run that does not open the output.
+    at = F.array_position(F.transform(runs, lambda r: r["i"] > 0), True).cast("int")
+    before = F.get(ls, F.get(runs, at - 1)["i"] - 1)
+    context = F.when((fn.strip(before) != "") & lines.level(before).isNull(), F.array(F.concat(F.lit("context: "), before)))
+    all_ = F.transform(runs, shown)
+    emitted = F.when(context.isNull(), all_).otherwise(F.concat(F.slice(all_, F.lit(1), F.greatest(at - 1, F.lit(0))), context, F.slice(all_, F.greatest(at, F.lit(1)), F.size(all_))))
     return _result(_text(F.size(made(True)), " error(s)/fatal(s), ", F.size(made(False)), " warning(s)"), failures=made(True), warnings=made(False), tail=_listed(emitted))
 
 
