@@ -78,7 +78,8 @@ def spans(docs: DataFrame) -> DataFrame:
     grams = doc_ids(docs, "key", "text").mapInPandas(_grams, "doc_id string, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("i", "gram"))
     votes = grams.join(F.broadcast(places), "gram").groupBy("doc_id", "key", "template", "label", "base", "size", (F.col("i") - F.col("j")).alias("diagonal"))
     votes = votes.agg(F.collect_set("j").alias("js"), F.min("i").alias("first_pos"), F.max("i").alias("last_pos"))
-    place = ["doc_id", "key", "template"]
+    # Read twice below, so the documents are scanned once for it.
+    votes, place = cut(votes, "votes"), ["doc_id", "key", "template"]
     phrases = votes.where(F.col("base") & (F.size("js") == F.col("size"))).select(*place, "label", "base", "size", "diagonal", "first_pos", "last_pos", F.size("js").alias("covered"))
     reach = F.floor(F.col("size") * (STRETCH - 1))
     w = Window.partitionBy(*place).orderBy("diagonal").rangeBetween(0, int(max(len(t[3]) for t in templates()) * (STRETCH - 1)))
