@@ -10,7 +10,10 @@ from pyspark.sql import SparkSession
 
 from lodestrata.plans import registry
 
-HEADLINE = ("a2_bm25_topk", "r5_dense_topk", "a11_ndcg", "p1_line_scan", "w4_entropy_lines", "w5_retain_within", "r15_reverse_bfs", "a8_telemetry", "f1_tokens")
+HEADLINE = (
+    "a2_bm25_topk", "r5_dense_topk", "a11_ndcg", "p1_line_scan", "w4_entropy", "w5_retain_within", "r15_reverse_bfs", "a8_telemetry", "f1_tokens",
+    "a1_postings", "r1_line_chunks", "r6_hybrid", "r32_rerank", "r13_import_edges", "r21_symbols", "r26_diff", "g1_cargo_test", "j10_delta",
+)
 
 
 def main() -> None:

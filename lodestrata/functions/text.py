@@ -49,9 +49,20 @@ def count_fast(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Identifier-like words, lower-cased, each followed by its snake or camel parts."""
-    found = F.regexp_extract_all(text, F.lit("[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0))
-    return F.flatten(F.transform(found, split_identifier))
+    """Identifier-like words, lower-cased, each followed by its snake or camel parts.
+
+    The places where a word's case breaks are marked in the whole text at once, so that most words need no pattern.
+    """
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "\x01")
+    found = F.regexp_extract_all(marked, F.lit("[a-zA-Z_][a-zA-Z0-9_\x01]*"), F.lit(0))
+
+    def parts(w: Column) -> Column:
+        whole = F.array(F.lower(F.translate(w, "\x01", "")))
+        snake = F.filter(F.split(F.get(whole, F.lit(0)), "_"), lambda p: p != "")
+        own = F.when(w.contains("_"), snake).otherwise(F.split(F.lower(w), "\x01"))
+        return F.when(F.size(own) >= 2, F.concat(whole, own)).otherwise(whole)
+
+    return F.flatten(F.transform(found, lambda w: F.when(w.rlike("[_\x01]"), parts(w)).otherwise(F.array(F.lower(w)))))
 
 
 def split_identifier(word: Column) -> Column:

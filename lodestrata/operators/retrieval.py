@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,33 +32,36 @@ def enriched(chunks: DataFrame) -> DataFrame:
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl) of texts(chunk_id, text): tokenised once, counted within the row, no shuffle."""
+    """(chunk_id, term, tf, dl) of texts(chunk_id, text): tokenised once, counted within the row, no shuffle. Every text also has
+    a row of the empty term, so that its length is known where it has no other."""
     held = texts.select("chunk_id", F.array_sort(fn.tokens(F.col("text"))).alias("ts"))
     # In a sorted list a term's count is the distance to the next term's first place.
-    first = F.filter(F.transform("ts", lambda t, i: F.struct(t.alias("term"), i.alias("at"), ((i == 0) | (F.get("ts", i - 1) != t)).alias("new"))), lambda x: x["new"])
+    marked = F.zip_with("ts", F.concat(F.array(F.lit("")), F.col("ts")), lambda t, before: F.struct(t.alias("term"), t.eqNullSafe(before).alias("same")))
+    first = F.filter(F.transform(marked, lambda x, i: F.struct(x["term"].alias("term"), i.alias("at"), x["same"].alias("same"))), lambda x: ~x["same"] & x["term"].isNotNull())
     ends = F.concat(F.slice(F.transform("f", lambda x: x["at"]), F.lit(2), F.size("f")), F.array(F.col("dl")))
-    counted = held.withColumn("dl", F.size("ts")).where("dl > 0").withColumn("f", first).withColumn("e", ends)
+    counted = held.select("chunk_id", F.size("ts").alias("dl"), first.alias("f")).withColumn("e", ends)
     pairs = F.zip_with("f", "e", lambda x, e: F.struct(x["term"].alias("term"), (e - x["at"]).alias("tf")))
-    return counted.select("chunk_id", F.col("dl").cast("long").alias("dl"), F.explode(pairs).alias("p")).select("chunk_id", "p.term", F.col("p.tf").cast("long").alias("tf"), "dl")
+    every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf"))), F.when(F.col("dl") > 0, pairs).otherwise(F.array()))
+    return counted.select("chunk_id", F.col("dl").cast("long").alias("dl"), F.explode(every).alias("p")).select("chunk_id", "p.term", F.col("p.tf").cast("long").alias("tf"), "dl")
 
 
-def corpus(texts: DataFrame) -> DataFrame:
-    """One row (n, avgdl); texts without a token count too."""
-    dl = texts.select(F.size(fn.tokens(F.col("text"))).alias("dl"))
-    return dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def weigh(tf: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, chunk_id, score) with the BM25 weight of each term of each chunk, where it is above 0."""
+def weigh(counts: DataFrame) -> DataFrame:
+    """(term, chunk_id, score) of term counts: the BM25 weight of each term of each chunk, where it is above 0."""
+    tf = counts.where("term <> ''")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    stats = counts.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", score.alias("score")).where("score > 0")
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """The whole BM25 matrix as rows; one shuffle by term. Written once, it answers any query without the texts."""
-    tf = term_counts(texts)
-    return weigh(tf, tf.groupBy("term").agg(F.count("*").alias("df")), corpus(texts))
+    """The whole BM25 matrix as rows; one shuffle by term. Written once, it answers any query without the texts.
+
+    The counts are read twice, for document frequencies and for weights, so they are kept on the executors' disks meanwhile; a lost
+    part is counted again.
+    """
+    return weigh(term_counts(texts).persist(StorageLevel.DISK_ONLY))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -73,17 +77,15 @@ def bm25(kept: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_of_texts(texts: DataFrame, queries: DataFrame, k: int, few: int = 10_000) -> DataFrame:
-    """As ``bm25``, without kept postings: only the terms of the queries leave the tasks that read the texts.
+    """As ``bm25``, without kept postings: the texts are read once, and only the terms of the queries leave the tasks that read them.
 
     Up to ``few`` distinct query terms are broadcast, after a count, so rows of other terms are dropped before any
-    shuffle; beyond that the same semi join is a shuffle by term.
+    shuffle; beyond that the same semi join is a shuffle by term. What is left is kept as in ``postings``.
     """
-    wanted = query_terms(queries).cache()
-    asked = wanted.select("term").distinct()
+    asked = query_terms(queries).select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     small = asked.limit(few + 1).count() <= few
     tf = term_counts(texts).join(F.broadcast(asked) if small else asked, "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return bm25(weigh(tf, df, corpus(texts)), queries, k)
+    return bm25(weigh(tf.select("chunk_id", "term", "tf", "dl").persist(StorageLevel.DISK_ONLY)), queries, k)
 
 
 def top(scored: DataFrame, k: int, group: str = "query_id", order: str = "score") -> DataFrame:

@@ -311,12 +311,18 @@ def passage_labels(spark, d):
     words = lambda c: F.split(c, r"[ \n]+")
     b = table(spark, d, "benchmark").select("item_id", C("text").alias("passage"), F.least(F.size(words("text")), F.lit(13)).alias("k"))
     # The last of the k words may go on in the document, so only the words before it are the key.
-    keys = b.where("k > 1").withColumn("key", F.xxhash64(F.array_join(F.slice(words("passage"), F.lit(2), C("k") - 2), " "))).where("k > 2")
+    keys = b.where("k > 1").withColumn("key", F.xxhash64(F.array_join(F.slice(words("passage"), F.lit(2), F.greatest(C("k") - 2, F.lit(0))), " "))).where("k > 2")
     short = b.where("k <= 2")
     sizes = [r["k"] for r in keys.select("k").distinct().collect()]  # at most eleven
-    ws = words("text")
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    spread = [docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (k - 3), F.lit(1))), lambda i, k=k: F.xxhash64(F.array_join(F.slice(ws, i, k - 2), " "))))).alias("key"), F.lit(k).alias("k")) for k in sizes]
+    docs = table(spark, d, "documents").select("doc_id", "text", words("text").alias("ws"), F.size(words("text")).alias("n"))
+    ws = C("ws")
+
+    def windows(k):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (k - 3), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, k - 2), " "))))
+
+    # The windows are a column of their own, so that a text is split once.
+    spread = [docs.select("doc_id", F.explode(windows(k)).alias("key"), F.lit(k).alias("k")) for k in sizes]
     pairs = None
     for one in spread:
         hit = one.join(keys.select("item_id", "key", "k"), ["key", "k"]).select("item_id", "doc_id")
