@@ -3,7 +3,8 @@
 Training is follow-the-regularised-leader with elastic-net penalties, then one temperature is
 fitted on rows that training has not seen. Features are hashed 1- to 4-grams of the lower-cased
 text, all of it. Document frequencies are counted over every labelled row that may be learnt
-from; the weights are fitted on a sample of at most ``bound`` such rows (8,000, a parameter).
+from; the weights are fitted on a sample of at most ``bound`` such rows (8,000, a parameter) of at most ``most_bytes`` each
+(128 KB, a parameter), which bounds what the driver holds.
 
 Cases. Null text, or text without a letter: ``und`` with score 1. No labelled rows: ``und``
 with score 0, and ``kept`` keeps all. Repeated rows keep their rows; a null doc_id is never held out; extra
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, fresh
 
-DIM, GRAMS, BOUND = 1 << 15, 4, 8000
+DIM, GRAMS, BOUND, MOST_BYTES = 1 << 15, 4, 8000, 1 << 17
 REJECT_BELOW = 0.5
 
 
@@ -86,7 +87,7 @@ def temperature(logits: list[np.ndarray], gold: list[int]) -> float:
     return float(grid[int(np.argmin(loss))]) if logits else 1.0
 
 
-def fit(labelled: DataFrame, bound: int = BOUND) -> dict:
+def fit(labelled: DataFrame, bound: int = BOUND, most_bytes: int = MOST_BYTES) -> dict:
     """labelled(doc_id, text, lang) -> model. Weights from at most ``bound`` rows, frequencies from all."""
     arrow_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -95,7 +96,7 @@ def fit(labelled: DataFrame, bound: int = BOUND) -> dict:
     for r in sums:
         df[r["i"]] = r["c"]
     share = min(1.0, bound / max(n, 1))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).limit(bound).collect()
+    picked = labelled.where(F.octet_length("text") <= most_bytes).where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).limit(bound).collect()
     picked = sorted((r for r in picked if has_letter(r["text"])), key=lambda r: (hash_order(r["doc_id"]), r["text"]))
     langs = sorted({r["lang"] for r in picked})
     idf = np.log((1 + n) / (1 + df)) + 1

@@ -188,6 +188,47 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
     return lists.join(owners, "digest").select("key", "seq", (F.col("key") == F.col("owner")).alias("own"), "digest").distinct()
 
 
+def chunked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, store): key, seq, digest of every distinct text's file, in whole ordered lists; and digest, data of every distinct chunk, once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(9)
+        for batch in batches:
+            rows = [(key, i, hashlib.sha256(c).digest(), press.compress(c)) for key, text in dict(zip(batch["key"], batch["text"], strict=True)).items() for i, c in enumerate(chunks(store_media(payload(text))))]
+            yield pd.DataFrame(rows, columns=["key", "seq", "digest", "data"])
+
+    parts = cut(keyed(docs).select("key", "text").mapInPandas(run, "key binary, seq int, digest binary, data binary"), "chunks")
+    # A digest that many files have is reduced to one row within each task before it is shuffled.
+    return parts.select("key", "seq", "digest").distinct(), parts.groupBy("digest").agg(F.first("data").alias("data"))
+
+
+def files(lists: DataFrame, store: DataFrame) -> DataFrame:
+    """key, media, media_sha256: the files, put together of their chunks in order; each chunk is held against its digest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pull, now, parts = zstandard.ZstdDecompressor(), None, []
+
+        def whole() -> tuple:
+            media = b"".join(parts)
+            return now, media, hashlib.sha256(media).hexdigest()
+
+        for batch in batches:
+            rows = []
+            for key, digest, data in zip(batch["key"], batch["digest"], batch["data"], strict=True):
+                if key != now:
+                    rows += [whole()] if now is not None else []
+                    now, parts = key, []
+                parts.append(pull.decompress(data))
+                if hashlib.sha256(parts[-1]).digest() != digest:
+                    raise ValueError("a chunk does not give its digest")
+            yield pd.DataFrame(rows, columns=["key", "media", "media_sha256"])
+        if now is not None:
+            yield pd.DataFrame([whole()], columns=["key", "media", "media_sha256"])
+
+    dealt = lists.join(store, "digest").repartition("key").sortWithinPartitions("key", "seq")
+    return dealt.select("key", "digest", "data").mapInPandas(run, "key binary, media binary, media_sha256 string")
+
+
 def media_features(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, and what the rebuilt file gives."""
     arrow_batches(docs.sparkSession)

@@ -100,8 +100,8 @@ def encoder(path: str | None) -> Encoder:
     return Encoder(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece, with keep_ids its ids too."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -113,11 +113,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 end = (n - 1) % capacity + 1
                 piece = 0
                 while start < n:
-                    rows.append((doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                    own = ids[4 * start : 4 * end]
+                    rows.append((doc, piece, start, end - start, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] if keep_ids else [])))
                     start, end, piece = end, end + capacity, piece + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    made = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    made = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     return back(doc_ids(docs, "text").mapInPandas(cut_up, made))
 
 
@@ -219,9 +220,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    parts = cut(pieces(docs, tokenizer, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))), "pieces")
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; with keep_ids its ids before the last two, of
+    which ``sequences`` makes whole sequences."""
+    parts = cut(pieces(docs, tokenizer, capacity, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))), "pieces")
     sizes = sorted((r["length"], r["salt"], r["count"]) for r in parts.groupBy("length", "salt").count().collect())  # capacity x SALTS rows at most
     histogram, first = defaultdict(int), {}
     for length, salt, n in sizes:
@@ -247,4 +249,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     # row_number per (length, salt): the salt splits a length that a third of all pieces share.
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = parts.withColumn("rn", F.row_number().over(w)).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return back(ranked.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
+    return back(ranked.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long".replace("ids_crc32 long", "ids_crc32 long, ids array<int>" if keep_ids else "ids_crc32 long")))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids: the packed sequences themselves, each at most ``capacity`` ids of pieces in order of their places."""
+    own = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(own, lambda p: p["ids"])).alias("ids"))

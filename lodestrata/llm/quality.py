@@ -3,7 +3,7 @@
 Target model: hashed uni- and bigrams of the documents labelled good, at most ``bound`` of them (50,000, a
 parameter; those of the least hash of doc_id), so that their ids are broadcast and no text is shuffled; raw
 model: those of all documents. The weight of a document is the log ratio of the two models' likelihoods, per n-gram
-and scaled by ``scale``, so that length alone does not decide. Gumbel noise (a hash of doc_id and a seed)
+and scaled by ``scale``, so that length alone does not decide: with the plain sum long texts stand at either end (README). Gumbel noise (a hash of doc_id and a seed)
 is added and the top ``share`` of all documents is taken: sampling without replacement in
 proportion to the weights. The k-th key is found by a histogram that is refined until the
 remaining bin is small, not by a global sort.

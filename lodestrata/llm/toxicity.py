@@ -7,7 +7,7 @@ The result is the expected severity, sum_j P(grade > j). Features are words and
 letters (inflected abuse shares its stem) that occur in 2 % of the toxic rows and are e^2.5 times as frequent there; exact copies
 in the sample count once. As abuse may be a small part of a long text, every window of 32 words
 that holds a feature is scored and the greatest expected severity counts. The fit reads at most
-``bound`` labelled rows (8,000, a parameter).
+``bound`` labelled rows (8,000, a parameter) of at most ``most_bytes`` each (128 KB, a parameter).
 
 Cases. Null, empty or word-less text: severity 0. A text without a feature has the severity of the thresholds alone. No
 labels, or labels of one kind: severity 0 throughout. Labels of a null doc_id are not used; documents with a null
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, arrow_batches
 
-WINDOW, BOUND, GRADES, SCALE, RARE, ODDS = 32, 8000, 4, 0.5, 0.02, 2.5
+WINDOW, BOUND, MOST_BYTES, GRADES, SCALE, RARE, ODDS = 32, 8000, 1 << 17, 4, 0.5, 0.02, 2.5
 #: P(grade > 0) from which a document counts as toxic.
 TOXIC_FROM = 0.5
 
@@ -85,12 +85,12 @@ def ordinal(rows: list[tuple[list[int], int]], dim: int, epochs: int = 12, rate:
     return w, theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, most_bytes: int = MOST_BYTES) -> dict | None:
     named = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     n = max(1, named.count())
     share = min(1.0, bound / n)
     named = named.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).limit(bound)
-    found = docs.select("doc_id", "text").join(F.broadcast(named), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").collect()
+    found = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(named), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").collect()
     words = ((WORD.findall((r["text"] or "").lower()), r["toxic"]) for r in found)
     rows = sorted({(tuple(w), bool(t)): (w, bool(t)) for w, t in sorted(words)}.values())
     n_bad = sum(t for _, t in rows)

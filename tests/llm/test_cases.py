@@ -229,3 +229,27 @@ def test_pattern_packing_places_most():
     placed = packing.plan(histogram)
     assert sum(n for _, _, n, _, _ in placed) == 5000
     assert len({s + i for _, _, n, s, _ in placed for i in range(n)}) <= -(-total // 2048) + 1
+
+
+def test_packed_sequences_hold_all_ids(spark):
+    rng = random.Random(17)
+    texts = {i: fresh(rng, rng.randrange(1, 900)) for i in range(40)} | {40: None}
+    packed = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep_ids=True)
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    encode = packing.encoder(None)
+    for r in packed.collect():
+        ids = whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        own = [*np.frombuffer(next(iter(encode([texts[r["doc_id"]] or ""]))), "<u4").tolist(), 0]
+        assert ids == r["ids"] == own[r["start"] : r["start"] + r["length"]]
+    assert max(map(len, whole.values())) <= 2048
+
+
+def test_media_files_of_chunk_lists(spark):
+    rng = random.Random(18)
+    shared = fresh(rng, 5000)
+    texts = {i: fresh(rng, 30 * i) + shared for i in range(8)} | {8: None, 9: "é", 10: shared, 11: shared}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lists, store = media.chunked(docs)
+    made = {bytes(r["key"]): bytes(r["media"]) for r in media.files(lists, store).collect()}
+    assert made == {hashlib.sha256((t or "").encode()).digest(): media.store_media(media.payload(t)) for t in texts.values()}
+    assert store.count() == lists.select("digest").distinct().count() < lists.count()
