@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,12 @@ class Workspace:
             self._tables = kept if kept is not None and stores.is_valid(self.files, kept["files"]) else stores.build(self.files)
         return self._tables
 
+    def index_stats(self) -> dict:
+        """Whether the kept index holds, and its meta row."""
+        kept = stores.load(self.spark, self.folder)
+        meta = {} if kept is None else stores.latest(self.spark, self.folder)
+        return {"valid": kept is not None and stores.is_valid(self.files, kept["files"]), **meta}
+
     def index(self, rebuild: bool = False) -> str:
         state, self._tables = stores.index(self.files, self.folder, rebuild)
         return state
@@ -166,7 +173,7 @@ def plainer(space: Workspace, command: str, options: dict) -> dict | None:
     return None
 
 
-def run(space: Workspace, command: str, telemetry: str | None = None, errors: str | None = None, **options) -> str:
+def run(space: Workspace, command: str, /, telemetry: str | None = None, errors: str | None = None, **options) -> str:
     """The envelope of a command: its data; or with ``fallback`` a plainer answer where the engine failed; or an error.
 
     Telemetry and errors are appended as JSON lines to the folders that are given.
@@ -227,3 +234,45 @@ def batch(space: Workspace, commands: DataFrame) -> list[dict]:
 def supported(ext: str) -> bool:
     """Whether the engine knows a language's structure."""
     return ext in structure._MARKS
+
+
+def compare(space: Workspace, root: str) -> dict:
+    """Six tasks of the engine beside plain commands over the same folder: bytes, times and what is saved."""
+    first = next((p for p in ("src/main.rs",) if os.path.exists(os.path.join(root, p))), None) or space.files.select("path").orderBy("path").first()["path"]
+    said = "test result: ok. 50 passed; 0 failed; 0 ignored"
+    tasks = [
+        ("search_literal", "search", {"query": "fn main", "mode": "literal", "top_k": 1000}, ["grep", "-rn", "fn main", root]), ("search_top_k", "search", {"query": "hash", "mode": "literal", "top_k": 5}, ["grep", "-rn", "hash", root]),
+        ("read_skeleton", "read", {"file": first, "skeleton": True}, ["cat", os.path.join(root, first)]), ("read_full_file", "read", {"file": first}, ["cat", os.path.join(root, first)]),
+        ("find_files", "find", {}, ["find", root, "-type", "f"]), ("run_parsed", "run", {"command": ["echo", said]}, ["echo", said]),
+    ]
+    rows = []
+    for name, command, options, plain in tasks:
+        began = time.monotonic()
+        size = len(run(space, command, **options).encode())
+        ms, began = int(1000 * (time.monotonic() - began)), time.monotonic()
+        base = stores.execute(space.spark, plain).select(F.octet_length("stdout")).first()[0]
+        rows.append((name, size, base, ms, int(1000 * (time.monotonic() - began))))
+    results = space.spark.createDataFrame(rows, "name string, bytes long, baseline_bytes long, ms long, baseline_ms long")
+    each = results.select("name", F.floor(F.col("bytes") / 4).alias("tokens"), F.floor(F.col("baseline_bytes") / 4).alias("baseline_tokens"), "ms", "baseline_ms")
+    return {"summary": evaluate.side_by_side(results).first().asDict(), "tasks": [r.asDict() for r in each.collect()]}
+
+
+def judge(space: Workspace, path: str, k: int = 10) -> dict:
+    """NDCG of the engine's own search over a labelled set: all queries in one job."""
+    queries, labels = stores.dataset(space.spark, path)
+    t = space.tables()
+    ranked = retrieval.hybrid(queries.select("query_id", "query"), space.cards(), t["postings"], space.dense(queries.select("query_id", "query"), 5 * k), t["symbols"], t["nodes"], t["edges"], k)
+    found = ranked.where(F.col("rank") <= k).join(space.cards().select("chunk_id", "path"), "chunk_id").select("query_id", "path", "rank")
+    scores = evaluate.ndcg(found, labels, queries).cache()
+    rows = {r["category"]: r.asDict() for r in evaluate.by_category(scores).collect()}
+    missed = [r["query"] for r in scores.where("ndcg10 = 0").join(queries.select("query_id", "query"), "query_id").orderBy("query_id").collect()]
+    whole = rows.pop(None, None)
+    return {"all": whole, "by_category": rows, "misses": missed}
+
+
+def plain(rows: list[dict]) -> str:
+    """Rows as a table of text, columns in the order of the first row."""
+    names = list(rows[0]) if rows else []
+    shown = [[f"{r[n]:.3f}" if isinstance(r[n], float) else "" if r[n] is None else str(r[n]) for n in names] for r in rows]
+    wide = [max([len(n), *(len(s[i]) for s in shown)]) for i, n in enumerate(names)]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(line, wide, strict=True)).rstrip() for line in [names, *shown])

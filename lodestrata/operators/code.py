@@ -83,6 +83,11 @@ def lookup(symbols_: DataFrame, wanted: DataFrame) -> DataFrame:
     return exact.unionByName(near.select(*exact.columns))
 
 
+def by_name(symbols_: DataFrame) -> DataFrame:
+    """(name, defs): all definitions of a name, by place."""
+    return symbols_.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("path", F.col("start_line").alias("line"), "kind"))).alias("defs"))
+
+
 def entry_points(symbols_: DataFrame, refs: DataFrame | None = None, most: int = 10) -> DataFrame:
     """The foremost symbols: by references, kind, path and line. Without reference counts all have 0."""
     counted = symbols_.withColumn("ref_count", F.lit(0).cast("long")) if refs is None else symbols_.join(refs, "name", "left").withColumn("ref_count", F.coalesce("ref_count", F.lit(0).cast("long")))

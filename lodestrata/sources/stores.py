@@ -262,50 +262,55 @@ def build(files: DataFrame, kept: dict[str, DataFrame] | None = None) -> dict[st
     }
 
 
-def save(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Writes the tables, chunks first since others are made of them, and meta last: a folder without meta is no index.
+META = "version string, number long, timestamp long, file_count long, chunk_count long"
 
-    Postings are ranged by term, so a query's terms skip most row groups.
+
+def save(tables: dict[str, DataFrame | None], folder: str, number: int) -> None:
+    """Writes the tables into a folder of their own below ``folder``, chunks before postings, which are made of them; then one line of meta:
+    tables without it are no index, so a writer that is stopped leaves the one before in place.
+
+    Postings are ranged by term, so a query's terms skip most row groups. A table that is None is there already.
     """
-    spark = tables["chunks"].sparkSession
-    out: dict[str, DataFrame] = {}
+    spark, own = tables["chunks"].sparkSession, f"{folder}/{number}"
     for name in [t for t in tables if t != "postings"]:
-        if tables[name] is not None:  # else it is there already
-            tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
-        out[name] = spark.read.parquet(f"{folder}/{name}")
-    if "postings" in tables:
-        made = retrieval.postings(retrieval.enriched(out["chunks"]))
-        made.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-        out["postings"] = spark.read.parquet(f"{folder}/postings")
-    counts = out["files"].agg(F.count("*").alias("file_count")).crossJoin(out["chunks"].agg(F.count("*").alias("chunk_count")))
-    counts.select(F.lit(VERSION).alias("version"), F.lit(int(time.time())).alias("timestamp"), "file_count", "chunk_count").write.mode("overwrite").json(f"{folder}/meta")
-    return out
+        if tables[name] is not None:
+            tables[name].write.mode("overwrite").parquet(f"{own}/{name}")
+    made = retrieval.postings(retrieval.enriched(spark.read.parquet(f"{own}/chunks")))
+    made.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{own}/postings")
+    counts = spark.read.parquet(f"{own}/files").agg(F.count("*").alias("file_count")).crossJoin(spark.read.parquet(f"{own}/chunks").agg(F.count("*").alias("chunk_count")))
+    counts.select(F.lit(VERSION).alias("version"), F.lit(number).alias("number"), F.lit(int(time.time())).alias("timestamp"), "file_count", "chunk_count").coalesce(1).write.mode("append").json(f"{folder}/meta")
 
 
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
-    """The tables of an index of this version; null if there is none."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/meta/_SUCCESS")
+def latest(spark: SparkSession, folder: str) -> dict | None:
+    """The last line of meta; null if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/meta")
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None
-    meta = spark.read.schema("version string, timestamp long, file_count long, chunk_count long").json(f"{folder}/meta").first()
-    if meta is None or meta["version"] != VERSION:
-        return None
-    return {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}
+    row = spark.read.schema(META).json(f"{folder}/meta").orderBy(F.desc("number")).first()
+    return row and row.asDict()
+
+
+def load(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
+    """The tables of an index of this version; null if there is none."""
+    meta = latest(spark, folder)
+    return None if meta is None or meta["version"] != VERSION else {t: spark.read.parquet(f"{folder}/{meta['number']}/{t}") for t in TABLES}
 
 
 def index(files: DataFrame, folder: str, rebuild: bool = False) -> tuple[str, dict[str, DataFrame]]:
-    """("up_to_date" or "built", tables): builds what has changed, into a new folder beside the old that then takes its place."""
+    """("up_to_date" or "built", tables): builds what has changed, beside the tables that are there. These stay for their readers
+    until the index after next; older ones go."""
     spark = files.sparkSession
+    before = latest(spark, folder)
     kept = None if rebuild else load(spark, folder)
     if kept is not None and is_valid(files, kept["files"]):
         return "up_to_date", kept
+    number = 1 + (before["number"] if before else 0)
     # Files are read once: all tables are made of what they then were.
-    snapshot(files).write.mode("overwrite").parquet(f"{folder}-new/files")
-    made = build(spark.read.parquet(f"{folder}-new/files"), kept)
-    save({t: made[t] for t in made if t != "files"} | {"files": None}, f"{folder}-new")
-    remove(spark, folder)
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(jvm.Path(f"{folder}-new"), jvm.Path(folder))
+    snapshot(files).write.mode("overwrite").parquet(f"{folder}/{number}/files")
+    made = build(spark.read.parquet(f"{folder}/{number}/files"), kept)
+    save(made | {"files": None}, folder, number)
+    if number > 2:
+        remove(spark, f"{folder}/{number - 2}")
     return "built", load(spark, folder)
 
 

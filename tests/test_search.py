@@ -1,15 +1,18 @@
 """Chunks, index, search, ranking, graph and packages on small trees with known answers."""
 
+import hashlib
+import io
 import json
+import struct
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata import api
+from lodestrata import api, server
 from lodestrata.functions import code as structure
 from lodestrata.operators import changes, chunking, code, evaluate, graph, lines, packages, rerank, retrieval
-from lodestrata.sources import stores
+from lodestrata.sources import models, stores
 
 FILES = "file_id long, path string, content string"
 TREE = {
@@ -321,10 +324,10 @@ def test_evaluation(spark):
     assert tuple(evaluate.side_by_side(tasks).first()) == (2, 45.0, 110, 110, 4, 6)
 
 
-def test_packages(spark):
+def test_packages(spark, tmp_path):
     tree = {"src/core.rs": "//! The core.\npub struct Engine { }\npub fn start() { }\n", "src/app.rs": "use crate::core::Engine;\nfn run() { start(); }\n", "tests/t.rs": "use crate::core::start;\nfn check() { start(); }\n", "src/deep.rs": "use crate::app::run;\n", "README.md": "# Title\n"}
     all_ = files(spark, tree)
-    t = stores.build(all_)
+    t = stores.index(all_, str(tmp_path / "index"))[1]
     data = packages.impact(all_, t["nodes"], t["edges"], "src/core.rs")
     assert [(d["path"], d["hops"], d["uses"], d["via"], d["is_test"]) for d in data["dependents"]] == [("src/app.rs", 1, ["Engine"], None, False), ("tests/t.rs", 1, ["start"], None, True), ("src/deep.rs", 2, [], "src/app.rs", False)]
     assert data["stats"] == {"direct": 2, "transitive": 1, "test_files": 1, "total": 3, "max_hops_reached": 2}
@@ -381,6 +384,17 @@ def test_index_and_api(spark, tmp_path):
     changed = spark.createDataFrame([("tree/pkg/__init__.py",), ("ain.rs",)], "path string")
     assert sorted(r["path"] for r in lines.matching(walked, changed=changed).collect()) == ["main.rs", "pkg/__init__.py"]
     assert [s["name"] for s in space.outline("lib.py")["symbols"]] == ["greet", "add", "third"] and space.run(["echo", "hi"])["tail"] == "hi\n"
+    assert space.index_stats()["valid"] and space.index_stats()["file_count"] == 7 and {r["name"]: len(r["defs"]) for r in code.by_name(space.tables()["symbols"]).collect()} == {"main": 1, "helper": 1, "greet": 1, "add": 1, "third": 1}
+    rpc = [json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) for i, (m, p) in enumerate([("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "exists", "arguments": {"pattern": "greet"}}), ("tools/call", {"name": "exists", "arguments": {"x": 1}}), ("nothing", {}), ("tools/call", {"name": "read", "arguments": {"file": "absent"}})])]
+    out = io.StringIO()
+    server.serve(space, io.StringIO("\n".join([*rpc, "{", '{"method": "note"}'])), out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(said) == 7 and len(said[1]["result"]["tools"]) == 6 and json.loads(said[2]["result"]["content"][0]["text"])["data"]["exists"] and said[3]["error"]["code"] == -32602 and said[4]["error"]["code"] == -32601 and said[5]["result"]["isError"] and said[6]["error"]["code"] == -32700
+    compared = api.compare(space, str(root))
+    assert compared["summary"]["total_tasks"] == 6 and [t["name"] for t in compared["tasks"]][0] == "search_literal"
+    (tmp_path / "labelled.json").write_text(json.dumps({"queries": [{"query": "greet someone with a name", "category": "semantic", "relevant": [{"file": "lib.py", "relevance": 3}]}, {"query": "helper", "category": "symbol", "relevant": [{"file": "none.rs", "relevance": 1}]}]}))
+    judged = api.judge(space, str(tmp_path / "labelled.json"))
+    assert judged["misses"] == ["helper"] and judged["by_category"]["semantic"]["ndcg10"] == 1.0 and judged["all"]["count"] == 2 and api.plain([judged["all"]]).splitlines()[0].startswith("category")
     error = json.loads(api.run(space, "read", file="absent", telemetry=None))
     assert error["error"]["code"] == "file_not_found"
     plain = json.loads(api.run(space, "search", query="fn (", mode="literal", errors=str(tmp_path / "errors")))
@@ -398,7 +412,7 @@ def test_index_and_api(spark, tmp_path):
     subprocess.run("git init -q . && git add -A -f && git -c user.name=a -c user.email=b commit -qm x && echo y >> lib.py", shell=True, cwd=root, check=True)
     assert [r["path"] for r in stores.changed_files(spark, str(root)).collect()] == ["lib.py"] and stores.at_commit(spark, str(root), "HEAD", ["lib.py", "absent"]).count() == 1
     assert stores.changed_files(spark, str(root), "nonsense") is None and stores.workspace_root(str(root / "pkg")) == str(root)
-    assert space.diff(stores.at_commit(spark, str(root), "HEAD", ["lib.py", "main.rs", "data.json", "pkg/__init__.py", ".gitignore", "keep.log", ".hidden.py"]))["summary"] == "no changes"
+    assert space.diff(stores.at_commit(spark, str(root), "HEAD", ["lib.py", "main.rs", "data.json", "pkg/__init__.py", ".gitignore", "keep.log", ".hidden.py"]))["summary"] == "1 file(s) changed, +1 -0"
 
 
 def test_streams(spark, tmp_path):
@@ -420,9 +434,9 @@ def test_streams(spark, tmp_path):
         assert names() == {"a.py"}
         (root / "b.py").write_text("def second():\n    pass\n")
         (root / "a.py").unlink()
-        n = len(states)
-        while "built" not in states[n:] and time.time() < until:
-            time.sleep(0.3)
+        # A batch may have listed the files in between; the one after it puts that right.
+        while names() != {"b.py"} and time.time() < until:
+            time.sleep(1)
     finally:
         query.stop()
     assert names() == {"b.py"}
@@ -430,3 +444,24 @@ def test_streams(spark, tmp_path):
     watch.answer(spark, str(inbox), str(tmp_path / "out"), str(tmp_path / "c2"), api.Workspace(files(spark, TREE))).awaitTermination(120)
     got = sorted(json.loads(r["value"])["status"] for r in spark.read.text(str(tmp_path / "out")).collect())
     assert got == ["error", "ok"]
+
+
+def test_models(spark, tmp_path):
+    import numpy as np
+
+    for kind, name in ((np.float32, "F32"), (np.float16, "F16")):
+        body = np.arange(12, dtype=kind).reshape(3, 4).tobytes()
+        head = json.dumps({"__metadata__": {}, "x": {"dtype": "I32", "shape": [1], "data_offsets": [0, 0]}, "my_embed": {"dtype": name, "shape": [3, 4], "data_offsets": [0, len(body)]}}).encode()
+        (tmp_path / "m.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + body)
+        (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": {"hello": 0, "world": 2, "beyond": 9}}}))
+        rows = models.vocabulary(spark, str(tmp_path / "m.safetensors"), str(tmp_path / "t.json")).collect()
+        assert {r["token"]: (r["token_id"], r["vec"]) for r in rows} == {"hello": (0, [0.0, 1.0, 2.0, 3.0]), "world": (2, [8.0, 9.0, 10.0, 11.0])}
+    with pytest.raises(ValueError, match="embedding matrix"):
+        models.matrix(struct.pack("<Q", 2) + b"{}")
+    assert models.verified(str(tmp_path / "t.json"), hashlib.sha256((tmp_path / "t.json").read_bytes()).hexdigest()) and not models.verified(str(tmp_path / "t.json"), "0" * 64)
+    found = models.bloom(files(spark, {f"f{i}": f"word{i} getName{i}" for i in range(300)}).repartition(5))
+    assert found.has([f"word{i}" for i in range(300)]).all() and found.has([f"other{i}" for i in range(2000)]).mean() < 0.02
+    assert models.probably_exists(found, ["word1", "name"]) == (False, "exact") and models.probably_exists(found, ["word1", "name1"] if False else ["word1", "get"]) == (True, "probable") and models.probably_exists(found, []) == (False, "exact")
+    small = models.Bloom(1000, 0.02)
+    small.add([f"a{i}" for i in range(1000)])
+    assert 0.005 < small.has([f"b{i}" for i in range(20000)]).mean() < 0.04
