@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text as fn
 from lodestrata.operators import changes, code
 from lodestrata.plans.base import IMPORTS, SOURCES, SYMBOLS, query, sources, table, with_
 
@@ -79,6 +80,25 @@ def entry_points(spark, d):
     return code.entry_points(found, code.references(found, s)).drop("signature")
 
 
+@query("f17_kind_priority", with_(SOURCES, SYMBOLS) + "SELECT kind, CASE kind WHEN 'class' THEN 5 WHEN 'struct' THEN 4 WHEN 'function' THEN 3 ELSE 2 END AS priority, count(*) AS n FROM symbols GROUP BY kind")
+def kind_priority(spark, d):
+    rows = code.symbols(sources(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return rows.select("kind", fn.kind_priority(C("kind")).alias("priority"), "n")
+
+
+@query("r41_definitions", with_(SOURCES, SYMBOLS) + "SELECT name, string_agg(path || ':' || start_line || ':' || kind, ';' ORDER BY path, start_line) AS defs FROM symbols GROUP BY name")
+def definitions(spark, d):
+    text = F.array_join(F.transform("defs", lambda x: F.concat_ws(":", x["path"], x["line"], x["kind"])), ";")
+    return code.by_name(code.symbols(sources(spark, d))).select("name", text.alias("defs"))
+
+
+# Of the scripts the two lines of the function are changed; the others lack it, so they are changed as a whole, and have two such lines.
+@query("r28_scoped_edit", with_(SOURCES) + "SELECT file_id, 2 AS n FROM sources WHERE file_id % 2 = 0")
+def scoped_edit(spark, d):
+    s = sources(spark, d).where("file_id % 2 = 0").withColumn("content", F.regexp_replace("content", r"(View|draw|helper|Thing|build)\d+", "$1"))
+    return changes.edit(s, [("a", "b")], every=True, scope="helper").select("file_id", C("total_replacements").alias("n"))
+
+
 @query("j14_lookup", with_(SOURCES, SYMBOLS, "w AS (SELECT file_id AS query_id, CASE file_id % 3 WHEN 0 THEN 'Box' || file_id WHEN 1 THEN 'BOX' || file_id ELSE 'helper' || (file_id + 1) END AS name FROM sources)")
        + "SELECT query_id, path, start_line, symbols.name FROM w JOIN symbols ON w.name = symbols.name UNION ALL SELECT query_id, path, start_line, symbols.name FROM w JOIN symbols ON lower(w.name) = lower(symbols.name) WHERE w.name NOT IN (SELECT name FROM symbols)")
 def lookup(spark, d):

@@ -120,6 +120,20 @@ def middle(spark, d):
     return files(spark, d).where("content <> ''").select("file_id", F.md5(fn.middle(C("content"), 100)).alias("hash"))
 
 
+@query("f7_defines", with_(SOURCES) + """SELECT file_id, file_id % 4 IN (1, 3) AS defines, file_id % 6 = 0 AS imports FROM sources""")
+def defines(spark, d):
+    i = C("file_id")
+    s = sources(spark, d).select("file_id", "content", F.array(F.concat(F.lit("box"), i), F.concat(F.lit("start"), i)).alias("names"))
+    lines_ = F.when(i % 6 == 0, F.concat(F.lit("import a\n\nuse b;\n#include <c>\n"), F.lit("x = 1\n"))).otherwise(F.concat(F.lit("import a\nuse b;\nx\ny\n"), i.cast("string")))
+    return s.select("file_id", fn.defines_symbol(C("content"), C("names")).alias("defines"), fn.mostly_imports(lines_).alias("imports"))
+
+
+@query("f13_doc_block", """SELECT doc_id AS file_id, strlen(text) // 4 > 400 AS truncated, CASE WHEN strlen(text) // 4 <= 400 THEN length(text) ELSE (SELECT max(n) FROM generate_series(1595 // 4, 1600) g(n) WHERE strlen(left(text, n)) <= 1600) END::INT AS chars FROM documents""")
+def doc_block(spark, d):
+    b = files(spark, d).select("file_id", fn.doc_block(C("content")).alias("b"))
+    return b.select("file_id", "b.truncated", F.length("b.text").alias("chars"))
+
+
 @query("f14_doc_comment", with_(SOURCES) + "SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 'Module ' || file_id || '.' || chr(10) || 'Made.' END AS doc FROM sources")
 def doc_comment(spark, d):
     return sources(spark, d).select("file_id", fn.first_doc_comment(C("content")).alias("doc"))
@@ -148,6 +162,19 @@ def detect_tool(spark, d):
     return spark.createDataFrame([(i, c.split()) for i, c in enumerate(commands)], "i int, c array<string>").select("i", logs.detect_tool(C("c")).alias("tool"))
 
 
+@query("f22_inject_json", """SELECT i, c FROM (VALUES (0, 'kubectl get pods -o=json'), (1, 'terraform plan -json'), (2, 'npm ls --json'), (3, 'eslint . --format=json'), (4, 'mypy src --output=json'), (5, 'kubectl get -o json'), (6, 'cargo test'), (7, 'npm ls --json=true')) v(i, c)""")
+def inject_json(spark, d):
+    commands = ["kubectl get pods", "terraform plan", "npm ls", "eslint .", "mypy src", "kubectl get -o json", "cargo test", "npm ls --json=true"]
+    return spark.createDataFrame([(i, c.split()) for i, c in enumerate(commands)], "i int, c array<string>").select("i", F.array_join(logs.inject_json(C("c")), " ").alias("c"))
+
+
+@query("f26_diff_summary", """SELECT event_id, n || ' file(s) changed, +' || k || ' -' || (k // 2) || CASE n WHEN 0 THEN '' WHEN 1 THEN '. Functions: f0' WHEN 2 THEN '. Functions: f0, f1' WHEN 3 THEN '. Functions: f0, f1, f2' ELSE '. ' || n || ' functions changed' END AS summary FROM (SELECT event_id, event_id % 6 AS n, (props->>'$.k')::BIGINT AS k FROM events)""")
+def diff_summary(spark, d):
+    n, k = C("event_id") % 6, F.get_json_object("props", "$.k").cast("long")
+    names = F.slice(F.array(*[F.lit(f"f{i}") for i in range(6)]), F.lit(1), n.cast("int"))
+    return table(spark, d, "events").select("event_id", fn.summary_of_diff(n, k, F.floor(k / 2).cast("long"), names).alias("summary"))
+
+
 @query("f25_byte_offset", with_(LINES) + "SELECT file_id, line::INT AS line, (sum(strlen(text) + 1) OVER (PARTITION BY file_id ORDER BY line) - strlen(text) - 1)::BIGINT AS byte_offset FROM lined")
 def byte_offset(spark, d):
     f = files(spark, d).where("content <> ''").select("file_id", "content", F.explode(F.sequence(F.lit(1), F.size(fn.lines(C("content"))))).alias("line"))
