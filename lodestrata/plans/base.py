@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import paths
-from lodestrata.functions import text as fn
 from lodestrata.sources import adapters as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +135,3 @@ CODE_EDGES = "code_edges AS (SELECT DISTINCT s.file_id AS src, d.file_id AS dst
 
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
-
-
-__all__ = ["F", "fn", "paths", "src"]

@@ -124,7 +124,7 @@ OUTPUTS = {
     "unknown": (3, "one {a}\ntwo {b}\n", "exited 3", "0", "1", "0", "", "", "one {a}\ntwo {b}\n"),
 }
 GROUPS = {"cargo_test": "g1", "cargo_build": "g2", "cargo_llvm_cov": "g3", "pytest": "g4", "pytest_cov": "g5", "go_test": "g6", "go_cover": "g7", "jest": "g8", "jest_cov": "g9", "tsc": "g10", "eslint": "g11", "mypy": "g12", "git_log": "g13", "docker_build": "g14", "terraform": "g15", "kubectl": "g16", "kubectl_logs": "g17", "mvn": "g18", "gradle": "g19", "dotnet": "g20", "npm_ls": "g21", "unknown": "g22"}
-_NUMBERS = {"{a}": (F.col("event_id") % 10, "(event_id % 10)"), "{b}": (F.col, "((event_id // 10) % 10)"), "{c}": (F.col, "((event_id // 100) % 10)")} if False else {"{a}": "(event_id % 10)", "{b}": "((event_id div 10) % 10)", "{c}": "((event_id div 100) % 10)"}
+_NUMBERS = {"{a}": "(event_id % 10)", "{b}": "((event_id div 10) % 10)", "{c}": "((event_id div 100) % 10)"}
 
 
 def _filled(template: str) -> str:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import paths
 from lodestrata.functions import text as fn
-from lodestrata.operators import chunking, code, evaluate, graph, lines, packages, rerank, retrieval
+from lodestrata.operators import chunking, code, evaluate, graph, packages, rerank, retrieval
 from lodestrata.plans.base import CODE_EDGES, DOT, FILES, IMPORTS, LINES, NAME, PART_EDGES, PENALTY, SOURCES, SYMBOLS, bm25_sql, ext_sql, files, passages, query, sources, split_sql, src, stem_sql, table, with_
 from lodestrata.sources import stores
 
@@ -440,6 +439,3 @@ def find_stats(spark, d):
 @query("r30_find", with_(FILES) + f"SELECT path, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END::INT AS lines, strlen(content)::BIGINT AS bytes, CASE {ext_sql('path')} WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'md' THEN 'markdown' END AS language FROM files WHERE len(path) - len(replace(path, '/', '')) < 3 AND contains({NAME.format('path')}, '1')")
 def find(spark, d):
     return code.find(files(spark, d), pattern="1", depth=3).select("path", "lines", "bytes", "language")
-
-
-_ = (paths, lines)

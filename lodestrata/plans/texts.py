@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import paths
 from lodestrata.functions import text as fn
 from lodestrata.operators import lines, logs
-from lodestrata.plans.base import ASKED, FILES, LINES, NAME, PENALTY, SOURCES, asked, case, ext_sql, files, query, sources, split_sql, stem_sql, table, terms_sql, text, with_
+from lodestrata.plans.base import ASKED, FILES, LINES, NAME, PENALTY, SOURCES, asked, case, ext_sql, files, query, sources, split_sql, stem_sql, table, terms_sql, with_
 
 C = F.col
 _SYMBOL = r"""(contains(q, '::') OR (starts_with(q, '_') AND strlen(q) > 1) OR (NOT regexp_matches(q, '\s') AND (regexp_matches(q, '^.+\p{Lu}') OR regexp_matches(q, '^\p{Lu}\p{Ll}') OR (contains(q, '_') AND regexp_matches(q, '^[\p{L}\p{N}_]+$')))))"""
@@ -235,6 +235,3 @@ def envelope(spark, d):
 
     rows = table(spark, d, "events").groupBy(C("event_type").alias("command")).agg(F.count("*").alias("calls"))
     return rows.select("command", evaluate.envelope("stats", F.struct("command", "calls"), "1").alias("envelope"))
-
-
-_ = text

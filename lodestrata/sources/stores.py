@@ -6,12 +6,10 @@ out (those beginning with a dot or underscore, as __init__.py does), for folders
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import time
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -312,16 +310,3 @@ def index(files: DataFrame, folder: str, rebuild: bool = False) -> tuple[str, di
     if number > 2:
         remove(spark, f"{folder}/{number - 2}")
     return "built", load(spark, folder)
-
-
-def language_counts(files: DataFrame) -> DataFrame:
-    return files.groupBy(paths.language(F.col("path"), listed=True).alias("language")).agg(F.count("*").alias("files"))
-
-
-def union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
-def tables_json(rows: list) -> str:
-    """Rows of the driver as JSON."""
-    return json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False)

@@ -10,7 +10,7 @@ from lodestrata.operators import lines, logs
 # tool: (exit, stdout, stderr, summary, passed, failed, skipped, failures, warnings, tail); diagnostics as name|location|message.
 CASES = {
     "cargo_test": [
-        (101, "running 3 tests\ntest a ... ok\n\nfailures:\n\n---- m::b stdout ----\nthread 'm::b' panicked at src/x.rs:10:5:\nassertion failed\n  left: 1\nnote: run with BACKTRACE\n\n---- m::c stdout ----\nboom\n\nfailures:\n    m::b\n\ntest result: FAILED. 1 passed; 2 failed; 3 ignored; 0 measured\ntest result: ok. 9 passed; 0 failed; 0 ignored\n", "", "1 passed, 2 failed, 3 ignored", 1, 2, 3, ["m::b|src/x.rs:10:5:|assertion failed\nleft: 1" if False else "m::b|src/x.rs:10:5|assertion failed\nleft: 1", "m::c||boom"], [], None),
+        (101, "running 3 tests\ntest a ... ok\n\nfailures:\n\n---- m::b stdout ----\nthread 'm::b' panicked at src/x.rs:10:5:\nassertion failed\n  left: 1\nnote: run with BACKTRACE\n\n---- m::c stdout ----\nboom\n\nfailures:\n    m::b\n\ntest result: FAILED. 1 passed; 2 failed; 3 ignored; 0 measured\ntest result: ok. 9 passed; 0 failed; 0 ignored\n", "", "1 passed, 2 failed, 3 ignored", 1, 2, 3, ["m::b|src/x.rs:10:5|assertion failed\nleft: 1", "m::c||boom"], [], None),
         (0, "nothing", "", "0 passed, 0 failed", 0, 0, 0, [], [], None),
     ],
     "cargo_build": [
