@@ -37,8 +37,8 @@ def resolve(imports: DataFrame, nodes: DataFrame, many: int = 5, picks: int = 2)
     """Edges of imports(node, path, raw): the files whose path ends in the import, else in its parent; of over
     ``many`` the ``picks`` that share most leading folders with the importer, first ones first. No edge to itself.
 
-    The two tries are two equi joins on suffix. A suffix with many files is ranked once for each importing folder, not
-    for each import.
+    The two tries are two equi joins on suffix. Where a suffix has many files, no pair of importer and file is made: each leading part
+    of the files' folders keeps its first ones, and an importer looks its own leading parts up.
     """
     wanted = imports.select("node", paths.folder(F.col("path")).alias("own"), paths.normalize_import(F.col("raw")).alias("full")).distinct()
     wanted = wanted.withColumn("parent", F.when(F.col("full").contains("/"), F.regexp_extract("full", "^(.*)/", 1)))
@@ -46,10 +46,21 @@ def resolve(imports: DataFrame, nodes: DataFrame, many: int = 5, picks: int = 2)
     counts = index.groupBy("suffix").agg(F.count("*").alias("n"))
     named = wanted.join(counts.select(F.col("suffix").alias("full"), F.col("n").alias("n_full")), "full", "left")
     named = named.withColumn("suffix", F.when(F.col("n_full").isNotNull(), F.col("full")).otherwise(F.col("parent"))).where("suffix is not null")
-    asked = named.select("own", "suffix").distinct().join(index, "suffix").join(counts, "suffix")
-    w = Window.partitionBy("own", "suffix").orderBy(F.desc(paths.common_prefix(F.col("own"), F.col("dir"))), "node")
-    few = asked.where(F.col("n") <= many).select("own", "suffix", F.col("node").alias("dst"))
-    best = asked.where(F.col("n") > many).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= picks).select("own", "suffix", F.col("node").alias("dst"))
+    asked = named.select("own", "suffix").distinct().join(counts, "suffix")
+    few = asked.where(F.col("n") <= many).join(index, "suffix").select("own", "suffix", F.col("node").alias("dst"))
+
+    def leading(folder: str):
+        parts = F.split(folder, "/")
+        return F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("level", "part")
+
+    first = Window.partitionBy("suffix", "level", "part").orderBy("node")
+    heads = index.join(counts.where(F.col("n") > many).select("suffix"), "suffix").select("suffix", "node", leading("dir"))
+    heads = heads.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= picks).drop("rn")
+    # A file is found at each part that it shares with the importer; the longest tells how near it is.
+    near = asked.where(F.col("n") > many).select("own", "suffix", leading("own")).join(heads, ["suffix", "level", "part"])
+    near = near.groupBy("own", "suffix", "node").agg(F.max("level").alias("level"))
+    w = Window.partitionBy("own", "suffix").orderBy(F.desc("level"), "node")
+    best = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= picks).select("own", "suffix", F.col("node").alias("dst"))
     edges = named.join(few.unionByName(best), ["own", "suffix"]).select(F.col("node").alias("src"), "dst")
     return edges.where("src <> dst").distinct()
 
