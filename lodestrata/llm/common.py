@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,27 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 _made: list[list[str]] = []
+#: Rows of edges in a file, about, and files at least.
+_EDGES, _FILES = 100_000, 12
+#: What clears the caches that tasks leave to the next ones in their Python worker.
+cleared: list[Callable[[], None]] = []
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which maps batches, in a worker that other operators' tasks have used: what they left in ``cleared`` goes first, and
+    memory that run has freed goes back to the system at its end, since Spark keeps workers for later tasks."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        for clear in cleared:
+            clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidy
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -209,9 +232,10 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, component)``, the component's least node.
 
     Alternating large-star and small-star steps; each is one shuffle over the edges, and the
-    number of rounds grows with the logarithm of the longest path. State is cut each round.
+    number of rounds grows with the logarithm of the longest path. State is cut each round, into
+    no more files than its rows need.
     """
-    before = None
+    before, files = None, None
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -225,9 +249,9 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        old, now = now, cut(small, "edges")
+        old, now = now, cut(small.coalesce(files) if files else small, "edges")
         drop(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(state)
+        before, files = tuple(state), max(_FILES, state[0] // _EDGES)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, fresh
+from .common import arrow_batches, fresh, tidied
 
 DIM, GRAMS, BOUND, MOST_BYTES = 1 << 15, 4, 8000, 1 << 17
 REJECT_BELOW = 0.5
@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, bound: int = BOUND, most_bytes: int = MOST_BYTES) -
     """labelled(doc_id, text, lang) -> model. Weights from at most ``bound`` rows, frequencies from all."""
     arrow_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sums = labelled.select("text").mapInPandas(_frequencies, "n long, df array<long>").select("n", F.posexplode("df").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
+    sums = labelled.select("text").mapInPandas(tidied(_frequencies), "n long, df array<long>").select("n", F.posexplode("df").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
     n, df = (sums[0]["n"] if sums else 0), np.zeros(DIM)
     for r in sums:
         df[r["i"]] = r["c"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import back, components, cut, doc_ids, drop, fresh, letters, mix, rolling, word_hashes
+from .common import back, components, cut, doc_ids, drop, fresh, letters, mix, rolling, tidied, word_hashes
 
 BANDS, ROWS, N, THRESHOLD = 20, 5, 5, 0.8
 #: Members and grams of a block of a bucket, about; columns of a matrix product.
@@ -168,7 +168,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Per row of docs its doc_id, mark (a hash of the text) and class key; per class key class_id, group (a
     number of its own), group_id and n_links. Classes, not doc_ids, are the nodes, so doc_ids may be null or repeat."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    signed = doc_ids(docs, "text", "mark").mapInPandas(_signatures, "doc_id string, mark long, key binary, size long, bands array<long>")
+    signed = doc_ids(docs, "text", "mark").mapInPandas(tidied(_signatures), "doc_id string, mark long, key binary, size long, bands array<long>")
     signed = cut(back(signed), "signatures")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     own = signed.where("key is not null").groupBy("key").agg(one.alias("one"), F.min("size").alias("size"), F.min("bands").alias("bands"))
@@ -182,13 +182,13 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("band", "hash", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node")
     sized = members.join(classes.select("node", "size", "bands"), "node").select("band", "hash", "x", "y", "side", "node", "size", "bands")
-    needed = cut(_together(sized).mapInPandas(_needed(threshold), "band int, hash long, x int, y int, side int, node long"), "needed")
+    needed = cut(_together(sized).mapInPandas(tidied(_needed(threshold)), "band int, hash long, x int, y int, side int, node long"), "needed")
 
     wanted = classes.join(needed.select("node").distinct(), "node", "left_semi").select("node", "bands", F.col("class_id").alias("_id"), F.col("mark").alias("_mark"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).dropDuplicates(["node"])
-    sets = cut(texts.select("node", "bands", "text").mapInPandas(_sets, "node long, bands array<long>, grams binary"), "sets")
+    sets = cut(texts.select("node", "bands", "text").mapInPandas(tidied(_sets), "node long, bands array<long>, grams binary"), "sets")
     dealt = needed.join(sets, "node").select("band", "hash", "x", "y", "side", "node", "bands", "grams")
-    links = cut(_together(dealt).mapInPandas(_verified(threshold), "a long, b long, n long"), "links")
+    links = cut(_together(dealt).mapInPandas(tidied(_verified(threshold)), "a long, b long, n long"), "links")
     drop(needed)
     drop(sets)
 

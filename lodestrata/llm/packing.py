@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import back, cut, doc_ids
+from .common import back, cleared, cut, doc_ids
 
 CAPACITY, TOKENIZER, RANKS, SALTS, FITS = 2048, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 64, 4
 _CACHE_LIMIT = 400_000
@@ -96,10 +96,13 @@ class Encoder:
 
 @lru_cache(1)
 def encoder(path: str | None) -> Encoder:
-    """One for each Python worker, so that its cache outlives a task."""
+    """One for each Python worker, so that its cache outlives a task; other operators' tasks clear it."""
     return Encoder(path)
 
 
+cleared.append(encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with keep_ids its ids too."""
 

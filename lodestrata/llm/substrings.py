@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, mix, not_blank, rolling, word_hashes
+from .common import arrow_batches, cut, mix, not_blank, rolling, tidied, word_hashes
 
 WINDOW, STRIDE, PLACES = 13, 7, 8
 #: Bytes of text of a group, of a bucket's windows and of a task's block, windows of a task's block, and groups of a window above which all groups get its passage.
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = (max(16, 1 << (size // n).bit_length()) for n in (GROUP_BYTES, BUCKET_BYTES))
     buckets, tasks = max(256, buckets), max(16, groups // 4)
-    packed = docs.mapInPandas(_windows(buckets, groups), _PACKED)
+    packed = docs.mapInPandas(tidied(_windows(buckets, groups)), _PACKED)
     found = cut(packed.repartition(max(16, buckets // 4), "bucket").groupBy("bucket").applyInPandas(_recurring(groups, buckets), "g long, kind string, a binary, b binary"), "recurring")
 
     def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,11 +338,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         yield packed()
 
     schema = "g long, rank int, kind string, a binary, b binary"
-    rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b").unionByName(docs.mapInPandas(travel, schema))
-    done = rows.repartition(tasks, "g").sortWithinPartitions("g", "rank").mapInPandas(_cut_out(groups, buckets), _FINAL)
+    rows = found.select("g", F.lit(0).alias("rank"), "kind", "a", "b").unionByName(docs.mapInPandas(tidied(travel), schema))
+    done = rows.repartition(tasks, "g").sortWithinPartitions("g", "rank").mapInPandas(tidied(_cut_out(groups, buckets)), _FINAL)
     if not keep_text:
         done = done.withColumn("text", F.when(F.col("kind") != "final", F.col("text")))
     done = cut(done, "cut")
-    shards = done.where("kind <> 'final'").repartition(tasks, "t").sortWithinPartitions("t", "kind", "doc_id").mapInPandas(_locate, _FINAL)
+    shards = done.where("kind <> 'final'").repartition(tasks, "t").sortWithinPartitions("t", "kind", "doc_id").mapInPandas(tidied(_locate), _FINAL)
     columns = [F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["text", "mark"] if keep_text else [])]
     return done.where("kind = 'final'").unionByName(shards).select(*columns)

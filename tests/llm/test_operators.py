@@ -281,3 +281,29 @@ def test_toxicity_of_texts_that_share_an_opening(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(m[0], m[2]) for m in made[:200]], "doc_id long, toxic int"))
     got = {r["doc_id"]: r for r in toxicity.grade(docs, model).collect()}
     assert sum(got[i]["toxic"] == bool(t) for i, _, t in made[200:]) >= 190
+
+
+def test_components_write_few_files(spark):
+    """However many shuffle partitions there are, a few edges are no file a partition; groups stay right."""
+    from lodestrata.llm import common
+
+    written, cut = [], common.cut
+    edges = spark.range(1, 60).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).where("b % 20 <> 0")
+    common.cut = lambda df, kind="table": written.append(df.rdd.getNumPartitions()) or cut(df, kind)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["node"], r["component"]) for r in common.components(edges).collect()}
+    finally:
+        common.cut = cut
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(i, i // 20 * 20) for i in range(60)} and max(written[2:]) <= 12
+
+
+def test_worker_drops_what_others_left():
+    from lodestrata.llm import common, packing
+
+    packing.encoder(None)
+    assert list(common.tidied(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+    assert packing.encoder.cache_info().currsize == 0
