@@ -66,6 +66,14 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def reader_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Smaller batches of the Parquet reader, unless the session has set its own: 4,096 whole texts are arrays of 10 to 25 MB,
+    for which the JVM takes more heap than the rows need."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(name) == "4096":
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame, kind: str = "table") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, lost executors
     cost nothing. The table goes when the session's JVM ends, or earlier through ``scratch``."""

@@ -15,8 +15,8 @@ Cases. Null text is empty. A text without words has the fingerprint of zeros: li
 such text 1, like any other 0. Equal texts have equal fingerprints. Null doc_ids come last; rows that share one
 are in descending order of their texts. Empty table: empty result. Extra columns are ignored.
 
-A range is read as a stream and sorted on disk, so a range of any length fits; there are as many as
-documents / 400, from 13 million documents on 32,768, which bounds what the driver holds.
+A range is read as a stream and sorted on disk, so a range of any length fits. Each is one task and one file: there
+is one for 16 MB of text, two for a core at least, but no more than documents / 400 and 32,768, which bounds what the driver holds.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, back, letters, mix, rolling, word_hashes
+from .common import arrow_batches, back, letters, mix, reader_batches, rolling, word_hashes
 
 SAMPLES, ROWS_PER_RANGE, MOST_RANGES, BLOCK = 64, 400, 32_768, 128
+BYTES_PER_RANGE, RANGES_PER_CORE = 1 << 24, 2
 _PLUS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _TIMES = mix(_PLUS + np.uint64(1)) | np.uint64(1)
 _Y, _Z, _T = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -101,7 +102,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in descending order within a range; the row after a range's last one comes with it as a guest."""
+    """Rows of one range after another, in descending order within a range; the row after a range's last one comes with it as a guest."""
     held = None
     for batch in batches:
         for i in range(0, len(batch), 1000):
@@ -128,27 +129,37 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 62))))
     arrow_batches(docs.sparkSession)
-    n = docs.count()
-    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
-    edges = sorted(set(docs.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []), reverse=True) if ranges > 1 else []
-    home = _search(edges)
+    reader_batches(docs.sparkSession)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    wanted = max(size // BYTES_PER_RANGE, RANGES_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    ranges = max(2, min(MOST_RANGES, n // ROWS_PER_RANGE, wanted))
+    edges = sorted(set(docs.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []), reverse=True)
+    home = _search(edges, _keys(docs.sparkSession, ranges))
     placed = docs.withColumn("home", home.cast("int"))
     tops = {r["home"]: r["top"] for r in placed.groupBy("home").agg(F.max("o").alias("top")).collect()}  # a row a range
-    order = sorted(tops)
+    order = sorted(tops, key=tops.get, reverse=True)
     before = {tops[h]: order[i - 1] for i, h in enumerate(order)}
     table = docs.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "o long, back int")
     # A doc_id with several rows sends one of them; which one is fixed by its text.
     first = placed.join(F.broadcast(table), "o").groupBy("o", "doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("back").alias("home"))
     both = placed.select("home", "o", "doc_id", "text", F.lit(False).alias("guest")).unionByName(first.select("home", "o", "doc_id", "text", F.lit(True).alias("guest")))
-    dealt = both.repartition(max(2, ranges), "home").sortWithinPartitions("home", "guest", F.desc("o"), F.desc(F.coalesce("text", F.lit(""))))
+    dealt = both.repartition(ranges, "home").sortWithinPartitions("home", "guest", F.desc("o"), F.desc(F.coalesce("text", F.lit(""))))
     made = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return back(dealt.select("home", F.col("doc_id").cast("string").alias("doc_id"), "text", "guest").mapInPandas(_compare, made))
 
 
-def _search(edges: list[int]):
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """Integers that ``repartition(n, key)`` sends to partitions of their own."""
+    key = F.col("id").cast("int")
+    found = spark.range(20 * n).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("at")).agg(F.min(key).alias("key"))
+    at = {r["at"]: r["key"] for r in found.collect()}
+    return [at.get(i, -1 - i) for i in range(n)]
+
+
+def _search(edges: list[int], keys: list[int]):
     @F.pandas_udf("int")
     def home(o: pd.Series) -> pd.Series:
         up = np.array(edges[::-1])
-        return pd.Series(len(up) - np.searchsorted(up, o.to_numpy(), "left"))
+        return pd.Series(np.array(keys)[len(up) - np.searchsorted(up, o.to_numpy(), "left")])
 
     return home("o")

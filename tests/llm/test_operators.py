@@ -220,6 +220,21 @@ def test_near_duplicates_counts_every_link(spark, monkeypatch):
         assert got == {i: (0, n) for i, n in enumerate(links)}
 
 
+def test_fingerprints_of_few_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 4)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(12)))) for i in range(0, 1200, 3)]
+    found = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert 2 * spark.sparkContext.defaultParallelism - 2 <= len(held) <= 2 * spark.sparkContext.defaultParallelism and max(held) < 2 * len(rows) / len(held)
+    texts = [t for _, t in rows[::-1]]
+    want = [fingerprints.edited(t, other) for t, other in zip(texts, texts[1:] + texts[:1], strict=True)]
+    marks, changed = (list(fingerprints.fingerprints(x)) for x in (texts, want))
+    near = [fingerprints.likeness(a, b) for a, b in zip(marks, marks[1:] + marks[:1], strict=True)]
+    got = [(r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_next"]) for r in sorted(found.collect(), key=lambda r: -r["doc_id"])]
+    assert got == [(hashlib.sha256(o.encode()).hexdigest(), fingerprints.as_text(a), fingerprints.as_text(b), x) for o, a, b, x in zip(want, marks, changed, near, strict=True)]
+
+
 def test_fingerprints_of_long_unrelated_texts():
     pair = [" ".join(f"{side}{k}" for k in range(100_000)) for side in "ab"]
     a, b = fingerprints.fingerprints(pair)
